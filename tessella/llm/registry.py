@@ -2,6 +2,7 @@
 
 from .linededup import OP4_SQL, op4_line_dedup
 from .mixing import OP9_SQL, op9_mixing
+from .simhash import op10_simhash
 
-QUERIES = {"op4_line_dedup": op4_line_dedup, "op9_mixing": op9_mixing}
+QUERIES = {"op4_line_dedup": op4_line_dedup, "op9_mixing": op9_mixing, "op10_simhash": op10_simhash}
 SQL = {"op4_line_dedup": OP4_SQL, "op9_mixing": OP9_SQL}
