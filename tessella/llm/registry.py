@@ -1,8 +1,10 @@
 """The queries of this subpackage and, where SQL can express one, its SQL."""
 
+from .language import op6_language
 from .linededup import OP4_SQL, op4_line_dedup
 from .mixing import OP9_SQL, op9_mixing
+from .secrets import op3_secrets
 from .simhash import op10_simhash
 
-QUERIES = {"op4_line_dedup": op4_line_dedup, "op9_mixing": op9_mixing, "op10_simhash": op10_simhash}
+QUERIES = {"op3_secrets": op3_secrets, "op4_line_dedup": op4_line_dedup, "op6_language": op6_language, "op9_mixing": op9_mixing, "op10_simhash": op10_simhash}
 SQL = {"op4_line_dedup": OP4_SQL, "op9_mixing": OP9_SQL}
