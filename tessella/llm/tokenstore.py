@@ -30,7 +30,7 @@ from .common import Workspace, read, running_total, shuffles
 
 WINDOW = 16
 LEAST, AVERAGE, MOST = 128, 1024, 16384  # ids in a chunk; AVERAGE is a power of two
-UNICODE_SPACE = re.compile("[\x85\xa0  -     　]")
+UNICODE_SPACE = re.compile("[" + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 NEAR_SPACE = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "<|")
 
 
