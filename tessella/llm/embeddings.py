@@ -193,7 +193,7 @@ def near_vectors(vectors: DataFrame, ws: Workspace, least: float = 0.9, sample:
     kind = "<f8" if "double" in dict(vectors.dtypes)["embedding"] else "<f4"
     typed = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>" if kind == "<f8" else "array<float>"))
     raw = ws.save(typed.mapInArrow(_fast_raw, "vec_id long, vec binary"), "raw")
-    classes = ws.save(raw.where("vec IS NOT NULL AND vec_id IS NOT NULL").groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).select("rep", "n", "vec"), "classes")
+    classes = ws.save(raw.where("vec IS NOT NULL AND vec_id IS NOT NULL").groupBy("vec").agg(F.min("vec_id").alias("smallest"), F.count("*").alias("n")).select(F.monotonically_increasing_id().alias("rep"), "smallest", "n", "vec"), "classes")
     total = classes.count()
     place = F.pmod(F.xxhash64("vec"), F.lit(1 << 20))
     learned = [bytes(r.vec) for r in classes.where(place < (1 << 20) * min(1.0, sample / max(1, total))).select("vec").limit(2 * sample).collect()]
@@ -202,14 +202,17 @@ def near_vectors(vectors: DataFrame, ws: Workspace, least: float = 0.9, sample:
         x = unit(np.frombuffer(b"".join(sorted(r for r in learned if len(r) == d)), kind).reshape(-1, d // np.dtype(kind).itemsize))
         if len(x) >= 2 * x.shape[1]:
             quantisers[x.shape[1]] = quantiser(x)
-    entered = ws.save(classes.mapInArrow(_enter(quantisers, kind), "rep long, n long, vec binary, dim int, code long, keys array<int>"), "entered")
+    entered = ws.save(classes.select("rep", "n", "vec").mapInArrow(_enter(quantisers, kind), "rep long, n long, vec binary, dim int, code long, keys array<int>"), "entered")
     rows = entered.select("rep", "n", "vec", "dim", "code", F.posexplode("keys").alias("slot", "bucket"))
     keys = ["dim", "slot", "bucket"]
     found = ws.save(dealt(blocked(rows, keys, "rep", LIMIT), [*keys, "lo", "hi"], _rerank(kind, least), "rep long, top long, links long"), "found")
     parts = connected_components(found.select(F.col("rep").alias("a"), F.col("top").alias("b")), ws)
+    parts = ws.save(parts.join(classes.select(F.col("rep").alias("node"), "smallest"), "node").select("node", F.col("component").alias("part"), "smallest"), "parts")
+    lowest = parts.groupBy("part").agg(F.min("smallest").alias("component"))
+    parts = parts.join(lowest, "part").select("node", "component")
     per = found.groupBy("rep").agg(F.sum("links").alias("links"))
     known = classes.join(per, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")
-    known = known.select(F.col("vec").alias("_vec"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    known = known.select(F.col("vec").alias("_vec"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "smallest").alias("component_id"))
     both = raw.join(known, (F.col("vec") == F.col("_vec")) & F.col("vec_id").isNotNull(), "left")
     component = F.coalesce("component_id", "vec_id")
     return both.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
