@@ -16,9 +16,11 @@ greatest cuts on, it drops nothing.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,24 +36,50 @@ UNICODE_SPACE = re.compile("[" + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x
 NEAR_SPACE = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "<|")
 
 
+PIECES = re.compile(r"([^\W\d_]+)|([!-/:-@\[-`{-~]+)")  # letters, or ASCII signs: the pre-tokenizer parts a word so, an apostrophe apart
+
+
 class Encoder:
     """A byte-level BPE of the tokenizers library, with a bounded memory of what stands between single spaces.
 
     Its pre-tokenizer always parts before a space that stands between two other characters, so what it makes of the
-    pieces is what it makes of the whole. Texts with other white space at a space, or with `<|`, are encoded whole.
+    units there is what it makes of the whole; a unit of letters and then signs goes to the library's model piece by piece.
+    Texts with other white space at a space, or with `<|`, are encoded whole.
     """
 
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str, remember: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remember = Tokenizer.from_file(path), remember
+        self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.known: dict[str, bytes] = {}
         self.encode_all = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        shown = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or c >= 174]  # byte-level alphabet: these stand for themselves
+        hidden = iter(range(256, 512))
+        self.kind = "H" if self.width == 2 else "I"
+        self.letters = {c: chr(c) if c in shown else chr(next(hidden)) for c in range(256)}
+        self.space = self.letters[32]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.encode_all(texts, add_special_tokens=False)]
 
+    def _unit(self, unit: str) -> bytes | None:
+        """Ids of a space and a unit that is letters, then perhaps signs other than an apostrophe; else None."""
+        m = PIECES.match(unit)
+        if not m or m[1] is None:
+            return None
+        rest = unit[m.end() :]
+        if rest and ("'" in rest or not (n := PIECES.fullmatch(rest)) or n[2] is None):
+            return None
+        if not m[1].isalpha():
+            return None
+        word = self.space + (m[1] if m[1].isascii() else m[1].encode().decode("latin-1").translate(self.letters))
+        ids = [t.id for t in self.model.tokenize(word)]
+        if rest:
+            ids += [t.id for t in self.model.tokenize(rest)]  # signs stand for themselves
+        return array(self.kind, ids).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian bytes of self.width."""
         out: list = [None] * len(texts)
@@ -60,34 +88,46 @@ class Encoder:
             out[i] = ids
         rest = [i for i in range(len(texts)) if out[i] is None]
         units = [texts[i].split(" ") for i in rest]
-        if len(self.known) > self.remember:
-            self.known.clear()
-        firsts = {u[0] for u in units}
-        new = list({x for u in units for x in u[1:]}.difference(self.known))
         known = self.known
-        known.update(zip(new, self._ids([" " + x for x in new]), strict=True))
+        if len(known) > self.remember:
+            known.clear()
+        firsts = {u[0] for u in units}
+        new = set().union(*units).difference(known)
+        odd = []
+        for x in new:
+            ids = self._unit(x)
+            if ids is None:
+                odd.append(x)
+            else:
+                known[x] = ids
+        known.update(zip(odd, self._ids([" " + x for x in odd]), strict=True))
         at = dict(zip(firsts, self._ids(list(firsts)), strict=True))
         for i, u in zip(rest, units, strict=True):
             out[i] = at[u[0]] + b"".join(map(known.__getitem__, u[1:]))
         return out
 
 
-def cuts(ids: np.ndarray, least: int = LEAST, average: int = AVERAGE, most: int = MOST) -> list[int]:
-    """Ends of the chunks: where the hash of the last WINDOW ids falls in one of `average` cells, at least `least` and at most `most` apart."""
-    n = len(ids)
-    mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(29)
-    turn = np.uint64(3) ** np.arange(n, dtype=np.uint64)  # odd, so it can be taken out again: the hash heeds order, not place
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed * turn, dtype=np.uint64)))
-    end = np.arange(WINDOW, n + 1)
-    if not len(end):
-        return [n]
-    back = np.uint64(0xAAAAAAAAAAAAAAAB) ** np.arange(n, dtype=np.uint64)  # inverse of 3 modulo 2**64
-    h = (total[WINDOW:] - total[: n - WINDOW + 1]) * back[: n - WINDOW + 1]
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-    marks = end[(h >> np.uint64(64 - average.bit_length() + 1)) == 0].tolist()
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One for each worker, which outlives tasks."""
+    return Encoder(path)
+
+
+def marks(ids: np.ndarray, average: int = AVERAGE) -> np.ndarray:
+    """Places whose last WINDOW ids have a hash in one of `average` cells."""
+    h, p, n = ids.astype(np.uint64) + np.uint64(1), np.uint64(0x9E3779B97F4A7C15), 1
+    with np.errstate(over="ignore"):
+        while n < WINDOW:
+            h = h[:-n] * p + h[n:]
+            p, n = p * p, 2 * n
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.flatnonzero((h >> np.uint64(65 - average.bit_length())) == 0) + WINDOW
+
+
+def cuts(n: int, marked: list[int], least: int = LEAST, most: int = MOST) -> list[int]:
+    """Ends of the chunks of n ids: the marks, at least `least` and at most `most` apart."""
     out, last = [], 0
-    for m in [*marks, n]:
+    for m in [*marked, n]:
         while m - last > most:
             last += most
             out.append(last)
@@ -97,6 +137,13 @@ def cuts(ids: np.ndarray, least: int = LEAST, average: int = AVERAGE, most: int
     return out if out and out[-1] == n else [*out, n]
 
 
+def all_cuts(sizes: list[int], ids: np.ndarray) -> list[list[int]]:
+    """cuts() of each of several streams that are laid end to end."""
+    at, end = marks(ids), np.cumsum(sizes)
+    lo, hi = np.searchsorted(at, end - sizes + WINDOW), np.searchsorted(at, end, "right")
+    return [cuts(n, (at[a:b] - (e - n)).tolist()) for n, a, b, e in zip(sizes, lo.tolist(), hi.tolist(), end.tolist(), strict=True)]
+
+
 def name(payload: bytes) -> bytes:
     return hashlib.blake2b(payload, digest_size=16).digest()
 
@@ -111,16 +158,15 @@ def merkle(leaves: list[bytes]) -> bytes:
 
 def _encoded(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
-        w = encoder.width
+        bpe = encoder(path)
+        w = bpe.width
         end = np.array([end_id], f"<u{w}").tobytes()
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
+            for k in range(0, b.num_rows, 64):
+                part = b.slice(k, 64)
                 n, roots, names, payloads = [], [], [], []
-                for raw in encoder.encode([x.as_py() or "" for x in part.column(1)]):
-                    raw += end
-                    ends = cuts(np.frombuffer(raw, f"<u{w}"))
+                raws = [x + end for x in bpe.encode([x.as_py() or "" for x in part.column(1)])]
+                for raw, ends in zip(raws, all_cuts([len(x) // w for x in raws], np.frombuffer(b"".join(raws), f"<u{w}")), strict=True):
                     chunks = [bytes([w]) + raw[i * w : j * w] for i, j in zip([0, *ends], ends, strict=False)]
                     named = [name(c) for c in chunks]
                     n.append(len(raw) // w)

@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 from tessella.llm import tokenstore
 from tessella.llm.common import Workspace
-from tessella.llm.tokenstore import Encoder, cuts, read_back, write
+from tessella.llm.tokenstore import Encoder, all_cuts, read_back, write
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [None, "", " ", "a", "two words", " lead and trail ", "x  y", "tab\t here \nline\n next", "can't we'll 12 3.5 --- ...", "é ñ ß 日本 語 x 　y", "<|endoftext|> in text", "a\x0b b \x1c c", "end\n", "\n\n  \n"]
@@ -26,7 +26,7 @@ def want(rows):
 
 def test_encoder_equals_the_library():
     rng = random.Random(2)
-    alphabet = ["a", "Bc", "é", "1", "'s", " ", "  ", "\n", "\t", ".", "!?", " ", "_", "日", " x"]
+    alphabet = ["a", "Bc", "é", "1", "'s", " ", "  ", "\n", "\t", ".", "!?", " ", "_", "日", " x", "...", "ª", "²", "word", "don't", "(a)", "é,", "ß."]
     texts = [t or "" for t in TEXTS] + ["".join(rng.choices(alphabet, k=rng.randint(1, 30))) for _ in range(3000)]
     t, e = Tokenizer.from_file(PATH), Encoder(PATH, remember=50)
     for k in range(0, len(texts), 97):
@@ -36,15 +36,14 @@ def test_encoder_equals_the_library():
 
 def test_cuts_follow_content():
     rng = np.random.default_rng(1)
-    a = rng.integers(0, 50000, 20000)
-    ends = cuts(a)
-    assert ends[-1] == len(a)
-    sizes = np.diff([0, *ends])
-    assert sizes[:-1].min() >= 128 and sizes.max() <= 16384
-    shifted = {x - 777 for x in cuts(np.concatenate((rng.integers(0, 50000, 777), a)))}
-    assert len(set(ends) & shifted) > 0.8 * len(ends)
-    assert cuts(np.zeros(40000, int))[-1] == 40000
-    assert cuts(np.zeros(1, int)) == [1]
+    a, b = rng.integers(0, 50000, 60000), rng.integers(0, 50000, 777)
+    whole, shifted, tiny = all_cuts([60000, 60777, 5], np.concatenate((a, b, a, b[:5])))
+    assert whole[-1] == len(a) and tiny == [5]
+    sizes = np.diff([0, *whole])
+    assert sizes[:-1].min() >= 128 and sizes.max() <= 16384 and 20 < len(whole) < 200
+    assert len(set(whole) & {x - 777 for x in shifted}) > 0.8 * len(whole)
+    assert all_cuts([40000], np.zeros(40000, int))[0][-1] == 40000
+    assert all_cuts([1], np.zeros(1, int)) == [[1]]
 
 
 def test_round_trip(spark):
