@@ -1,11 +1,12 @@
 """Line dedup by site-relative frequency.
 
-Pages are grouped by host; a line that is on more than `ratio` of a host's pages is boilerplate there and goes. A host
-needs `least_pages` pages for that, and a line `least_on` of them: on one page every line would be on all.
+Pages are grouped by host; a line that is on more than `ratio` of a host's pages is boilerplate there and goes. Pages of one
+host with equal text count as one, else the lines of a page that is copied often would all go. A host needs `least_pages` pages, and a
+line must be on `least_on` of them: on few pages a ratio says little.
 
 Defined results: a null text gives null; a null host is a host of its own; empty lines are never dropped; lines compare by
-their text without white space around it; a line that repeats on a page counts once for it; rows of equal id are pages of
-their own; an empty table gives an empty table; clashing names of other columns don't matter, as only key columns join.
+their text without white space around it; a line that repeats on a page counts once for it; an empty table gives an empty
+table; clashing names of other columns don't matter, unless they start with an underscore.
 """
 
 from __future__ import annotations
@@ -40,16 +41,17 @@ def boilerplate(pages: DataFrame, ratio: float, least_pages: int, least_on: int)
     return both.where(F.col("_on") > ratio * F.col("_pages")).select("_host", "_h")
 
 
-def drop_lines(pages: DataFrame, ws: Workspace, text: str = "text", site: str = "host", ratio: float = 0.3, least_pages: int = 5, least_on: int = 3) -> DataFrame:
+def drop_lines(pages: DataFrame, ws: Workspace, text: str = "text", site: str = "host", ratio: float = 0.1, least_pages: int = 20, least_on: int = 10) -> DataFrame:
     """pages with `text` less its host's boilerplate lines, and n_lines, n_dropped (long)."""
     hashed = F.transform(F.split(F.col(text), "\n"), lambda x: F.xxhash64(F.regexp_replace(x, EDGE, "")))
     empty = F.xxhash64(F.lit(""))
-    key = F.sha2(F.to_json(F.struct(F.col(site).alias("s"), F.col(text).alias("t"))), 256)  # rows of equal site and text are treated alike
-    lines = ws.save(pages.select(key.alias("_key"), F.col(site).alias("_host"), F.filter(F.coalesce(hashed, F.array()), lambda h: h != empty).alias("_lines")), "lines")
+    key = F.struct(F.xxhash64(F.col(site), F.col(text)).alias("a"), F.xxhash64(F.lit(1), F.col(text), F.col(site)).alias("b"))  # 128 bits
+    rows = pages.select(key.alias("_key"), F.col(site).alias("_host"), F.filter(F.coalesce(hashed, F.array()), lambda h: h != empty).alias("_lines"))
+    lines = ws.save(rows.dropDuplicates(["_key"]), "lines")
     bad = ws.save(boilerplate(lines, ratio, least_pages, least_on), "boilerplate")
-    found = lines.select("_key", "_host", F.explode(F.array_distinct("_lines")).alias("_h")).distinct()
+    found = lines.select("_key", "_host", F.explode(F.array_distinct("_lines")).alias("_h"))
     hit = found.join(bad.withColumnRenamed("_host", "_b"), (F.col("_host").eqNullSafe(F.col("_b"))) & (found["_h"] == bad["_h"])).select("_key", found["_h"])
-    per = hit.groupBy("_key").agg(F.collect_set("_h").alias("_drop"))
+    per = ws.save(hit.groupBy("_key").agg(F.collect_set("_h").alias("_drop")), "drops")
     out = pages.withColumn("_key", key).join(per, "_key", "left").withColumn("_drop", F.coalesce("_drop", F.array().cast("array<bigint>")))
     split = F.split(F.col(text), "\n")
     keep = F.filter(split, lambda x: ~F.array_contains(F.col("_drop"), F.xxhash64(F.regexp_replace(x, EDGE, ""))))
@@ -69,12 +71,13 @@ WITH p AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*:/
   regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', '', 'g'),
     '(?i)<(/?(p|div|li|ul|ol|h[1-6]|tr|td|th|table|article|section|nav|header|footer|title|head|body|html|pre|blockquote)|br)([\x20/][^>]*)?>', chr(10), 'g'),
     '<[^>]*>', '', 'g') AS text FROM pages),
-s AS (SELECT page_id, host, text, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS lines FROM p),
-k AS (SELECT row_number() OVER () AS row, * FROM s),
+k AS (SELECT row_number() OVER () AS row, page_id, host, text, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS lines FROM p),
+u AS (SELECT host, text, any_value(lines) AS lines FROM k GROUP BY host, text),
 e AS (SELECT row, host, i, lines[i] AS line, regexp_replace(lines[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS bare FROM k, unnest(range(1, len(lines) + 1)) AS r(i)),
-t AS (SELECT host, count(*) AS pages FROM k GROUP BY host),
-b AS (SELECT e.host, bare FROM e JOIN t ON e.host IS NOT DISTINCT FROM t.host WHERE bare <> '' GROUP BY e.host, bare, pages
-  HAVING pages >= 5 AND count(DISTINCT row) >= 3 AND count(DISTINCT row) > 0.3 * pages),
+v AS (SELECT host, text, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS bare FROM (SELECT host, text, unnest(lines) AS line FROM u)),
+t AS (SELECT host, count(*) AS pages FROM u GROUP BY host),
+b AS (SELECT v.host, bare FROM v JOIN t ON v.host IS NOT DISTINCT FROM t.host WHERE bare <> '' GROUP BY v.host, bare, pages
+  HAVING pages >= 20 AND count(DISTINCT text) >= 10 AND count(DISTINCT text) > 0.1 * pages),
 m AS (SELECT row, count(*) AS n_lines, count(b.bare) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (b.bare IS NULL), '') AS kept
   FROM e LEFT JOIN b ON e.host IS NOT DISTINCT FROM b.host AND e.bare = b.bare GROUP BY row)
 SELECT page_id, k.host, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped,
