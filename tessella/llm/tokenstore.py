@@ -33,51 +33,50 @@ from .common import Workspace, read, running_total, shuffles
 WINDOW = 16
 LEAST, AVERAGE, MOST = 128, 1024, 16384  # ids in a chunk; AVERAGE is a power of two
 UNICODE_SPACE = re.compile("[" + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
-NEAR_SPACE = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "<|")
+NEAR_SPACE = ("  ", " \n", "\n ", "\n\n", "\t\n", "\n\t", "\r\n", "\n\r", " \t", "\t ", " \r", "\r ", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "<|")
 
 
-PIECES = re.compile(r"([^\W\d_]+)|([!-/:-@\[-`{-~]+)")  # letters, or ASCII signs: the pre-tokenizer parts a word so, an apostrophe apart
+PIECES = re.compile(r"[^\W\d_]+|[0-9]+|[!-&(-/:-@\[-`{-~]+")  # letters, digits, ASCII signs but the apostrophe: the pre-tokenizer parts a word so
 
 
 class Encoder:
-    """A byte-level BPE of the tokenizers library, with a bounded memory of what stands between single spaces.
+    """A byte-level BPE of the tokenizers library, with a bounded memory of what stands between single spaces and newlines.
 
-    Its pre-tokenizer always parts before a space that stands between two other characters, so what it makes of the
-    units there is what it makes of the whole; a unit of letters and then signs goes to the library's model piece by piece.
-    Texts with other white space at a space, or with `<|`, are encoded whole.
+    Its pre-tokenizer always parts at a space or newline that stands alone, so what it makes of the units between them is what it makes
+    of the whole; a unit of letters, digits and signs goes to the library's model piece by piece. Texts where white space
+    meets white space, or with `<|`, are encoded whole.
     """
 
-    def __init__(self, path: str, remember: int = 200_000):
+    def __init__(self, path: str, remember: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remember = Tokenizer.from_file(path), remember
         self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {}
+        self.kind = "H" if self.width == 2 else "I"
+        self.known: dict[str, bytes] = {}  # a unit that begins with a newline has no space before it, any other has one
         self.encode_all = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         shown = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or c >= 174]  # byte-level alphabet: these stand for themselves
         hidden = iter(range(256, 512))
-        self.kind = "H" if self.width == 2 else "I"
         self.letters = {c: chr(c) if c in shown else chr(next(hidden)) for c in range(256)}
-        self.space = self.letters[32]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.encode_all(texts, add_special_tokens=False)]
 
     def _unit(self, unit: str) -> bytes | None:
-        """Ids of a space and a unit that is letters, then perhaps signs other than an apostrophe; else None."""
-        m = PIECES.match(unit)
-        if not m or m[1] is None:
-            return None
-        rest = unit[m.end() :]
-        if rest and ("'" in rest or not (n := PIECES.fullmatch(rest)) or n[2] is None):
-            return None
-        if not m[1].isalpha():
+        """Ids of a unit that is letters, digits and signs, else None."""
+        lone = unit[:1] == "\n"
+        pieces = PIECES.findall(unit)
+        if not pieces or len(unit) - lone != sum(map(len, pieces)):
             return None
-        word = self.space + (m[1] if m[1].isascii() else m[1].encode().decode("latin-1").translate(self.letters))
-        ids = [t.id for t in self.model.tokenize(word)]
-        if rest:
-            ids += [t.id for t in self.model.tokenize(rest)]  # signs stand for themselves
+        head = self.letters[32]
+        ids = [t.id for t in self.model.tokenize(self.letters[10])] if lone else []
+        for k, p in enumerate(pieces):
+            if not p.isascii():
+                if not p.isalpha():
+                    return None
+                p = p.encode().decode("latin-1").translate(self.letters)
+            ids += [t.id for t in self.model.tokenize(p if k or lone else head + p)]
         return array(self.kind, ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -87,20 +86,19 @@ class Encoder:
         for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
             out[i] = ids
         rest = [i for i in range(len(texts)) if out[i] is None]
-        units = [texts[i].split(" ") for i in rest]
+        units = [texts[i].replace("\n", " \n").split(" ") for i in rest]
         known = self.known
         if len(known) > self.remember:
             known.clear()
         firsts = {u[0] for u in units}
-        new = set().union(*units).difference(known)
         odd = []
-        for x in new:
+        for x in set().union(*units).difference(known):
             ids = self._unit(x)
             if ids is None:
                 odd.append(x)
             else:
                 known[x] = ids
-        known.update(zip(odd, self._ids([" " + x for x in odd]), strict=True))
+        known.update(zip(odd, self._ids([x if x[:1] == "\n" else " " + x for x in odd]), strict=True))
         at = dict(zip(firsts, self._ids(list(firsts)), strict=True))
         for i, u in zip(rest, units, strict=True):
             out[i] = at[u[0]] + b"".join(map(known.__getitem__, u[1:]))
