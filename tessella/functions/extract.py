@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.errors import ConversionError
@@ -19,6 +19,11 @@ FLAT_LENGTH = 2000  # texts up to this length are tried with the expression firs
 RESULT = "struct<json: string, error: string>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, EDGE, "")
 
@@ -28,10 +33,9 @@ def strict(c: Column) -> Column:
 
     Spark's parser ignores what follows a value. Inside an array and inside an object nothing can follow unseen.
     """
+    keyed = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}"))).isNotNull()
     listed = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
-    keyed = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
-    one = F.try_variant_get(listed, "$[1]", "variant").isNull()
-    return F.when(keyed.isNotNull() & one, F.try_variant_get(listed, "$[0]", "variant"))
+    return let(listed, lambda x: F.when(F.try_variant_get(x, "$[1]", "variant").isNull() & keyed, F.try_variant_get(x, "$[0]", "variant")))
 
 
 def balanced(c: Column, open_: str, close: str, compat: bool = False) -> Column:
@@ -62,14 +66,13 @@ def embedded_json(c: Column, compat: bool = False) -> Column:
     flat = r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}|\[[^\[\]]*(?:\[[^\[\]]*\][^\[\]]*)*\]"
     found = F.filter(F.regexp_extract_all(c, F.lit(f"({flat})"), F.lit(1)), lambda x: (F.length(x) >= 0.8 * F.length(c)) & strict(x).isNotNull())
     longest = F.array_max(F.transform(found, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    one, many = balanced(c, "{", "}", compat), balanced(c, "[", "]", compat)
-    return F.when(strict(c).isNotNull(), c).when(one.isNotNull() & (one != c), one).when(many.isNotNull() & (many != c), many).otherwise(F.coalesce(longest, c))
+    part = lambda o, k, rest: let(balanced(c, o, k, compat), lambda x: F.when(x.isNotNull() & (x != c), x).otherwise(rest))
+    return F.when(strict(c).isNotNull(), c).otherwise(part("{", "}", part("[", "]", F.coalesce(longest, c))))
 
 
 def extract_json(c: Column, compat: bool = False) -> Column:
     """The text between the first json fence, else what embedded_json() finds; stripped."""
-    s = strip(c)
-    return strip(F.when(s.rlike(FENCE), F.regexp_extract(s, FENCE, 1)).otherwise(embedded_json(s, compat)))
+    return let(strip(c), lambda s: strip(F.when(s.rlike(FENCE), F.regexp_extract(s, FENCE, 1)).otherwise(embedded_json(s, compat))))
 
 
 def _udf(read: Callable[[str], object]) -> Callable[[Column], Column]:
@@ -90,17 +93,19 @@ def _udf(read: Callable[[str], object]) -> Callable[[Column], Column]:
     return run
 
 
-def loads(c: Column, mode: str = "json", repair: bool = True, compat: bool = False) -> Column:
-    """struct<value: variant, error: string>; value is null where error isn't."""
+def loads(df: DataFrame, column: str, output: str = "loaded", mode: str = "json", repair: bool = True, compat: bool = False) -> DataFrame:
+    """df with struct<value: variant, error: string> of what a text column holds; value is null where error isn't.
+
+    What strict JSON reads is one projection; the Python reader gets nulls for those rows.
+    """
     if mode not in ("json", "yaml"):
         raise ConversionError(f"Unsupported mode: {mode}. Use 'json' or 'yaml'")
-    s = strip(c)
-    blank = F.when(c.isNull() | (s == ""), F.lit("Empty or whitespace-only text"))
+    c = F.col(column)
+    blank = F.when(c.isNull() | (strip(c) == ""), F.lit("Empty or whitespace-only text"))
     if mode == "yaml":
-        slow = _udf(lambda t: R.loads_yaml(t, repair))(F.when(blank.isNull(), s))
-        return F.struct(F.parse_json(slow["json"]).alias("value"), F.coalesce(blank, slow["error"]).alias("error"))
-    text = extract_json(c, compat)
-    fast = strict(text)
-    slow = _udf(lambda t: R.parse_json(t, repair))(F.when(fast.isNull() & blank.isNull(), text))  # rows read already cross as nulls
-    value = F.when(fast.isNotNull(), fast).when(blank.isNull(), F.try_parse_json(slow["json"]))
-    return F.struct(value.alias("value"), F.coalesce(blank, F.when(fast.isNull(), slow["error"])).alias("error"))
+        slow = df.withColumn("__slow", _udf(lambda t: R.loads_yaml(t, repair))(F.when(blank.isNull(), strip(c))))
+        return slow.withColumn(output, F.struct(F.parse_json("__slow.json").alias("value"), F.coalesce(blank, F.col("__slow.error")).alias("error"))).drop("__slow")
+    read = df.withColumn("__read", let(extract_json(c, compat), lambda t: F.struct(t.alias("text"), strict(t).alias("value"))))
+    slow = read.withColumn("__slow", _udf(lambda t: R.parse_json(t, repair))(F.when(F.col("__read.value").isNull() & blank.isNull(), F.col("__read.text"))))
+    value = F.coalesce(F.col("__read.value"), F.when(blank.isNull(), F.try_parse_json("__slow.json")))
+    return slow.withColumn(output, F.struct(value.alias("value"), F.coalesce(blank, F.col("__slow.error")).alias("error"))).drop("__read", "__slow")

@@ -57,14 +57,14 @@ def test_columns_equal_single_calls(spark):
     texts = [t for t, _ in GOOD + MENDED] + BAD
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
     for repair in (True, False):
-        for r in df.select("i", "t", loads(F.col("t"), repair=repair).alias("r")).select("i", "t", F.to_json("r.value").alias("v"), F.expr("r.value IS NULL").alias("none"), "r.error").collect():
+        for r in loads(df, "t", "r", repair=repair).select("i", "t", F.to_json("r.value").alias("v"), F.expr("r.value IS NULL").alias("none"), "r.error").collect():
             try:
                 want = R.loads(r.t or "", repair=repair)
             except ConversionError as e:
                 assert r.none and r.error == str(e), r
                 continue
             assert r.error is None and json.loads(r.v) == want, r
-    for r in spark.createDataFrame([t for t, _ in YAMLS] + ["- 1\n- 2"], "string").select("value", loads(F.col("value"), "yaml").alias("r")).select("value", F.to_json("r.value").alias("v"), "r.error").collect():
+    for r in loads(spark.createDataFrame([t for t, _ in YAMLS] + ["- 1\n- 2"], "string"), "value", "r", "yaml").select("value", F.to_json("r.value").alias("v"), "r.error").collect():
         if r.value.startswith("- 1"):
             assert r.v is None and "must be a dictionary" in r.error
         else:
