@@ -90,7 +90,7 @@ def _udf(read: Callable[[str], object]) -> Callable[[Column], Column]:
             errors.append(error)
         return pd.DataFrame({"json": pd.Series(json_, dtype="object"), "error": pd.Series(errors, dtype="object")})
 
-    return run
+    return run.asNondeterministic()  # so that a filter on the result stays above: below, it would copy this call and its input
 
 
 def loads(df: DataFrame, column: str, output: str = "loaded", mode: str = "json", repair: bool = True, compat: bool = False) -> DataFrame:

@@ -274,7 +274,7 @@ def _interpreted(source: Any, mode: str, first_only: bool):
             errors.append((found[:1] if first_only else found) or None)
         return pd.DataFrame({"is_valid": pd.Series(ok, dtype="object"), "errors": pd.Series(errors, dtype="object")})
 
-    return run
+    return run.asNondeterministic()  # so that a filter on the result stays above: below, it would copy this call and its input
 
 
 def validate(df: DataFrame, column: str, source: Any, output: str = "validation", mode: str = "auto", first_only: bool = False) -> DataFrame:
