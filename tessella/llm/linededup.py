@@ -6,7 +6,7 @@ line must be on `least_on` of them: on few pages a ratio says little.
 
 Defined results: a null text gives null; a null host is a host of its own; empty lines are never dropped; lines compare by
 their text without white space around it; a line that repeats on a page counts once for it; an empty table gives an empty
-table; clashing names of other columns don't matter, unless they start with an underscore.
+table; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, read
+from .common import Workspace, free, read
 
 EDGE = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
@@ -41,8 +41,8 @@ def boilerplate(pages: DataFrame, ratio: float, least_pages: int, least_on: int)
     return both.where(F.col("_on") > ratio * F.col("_pages")).select("_host", "_h")
 
 
-def drop_lines(pages: DataFrame, ws: Workspace, text: str = "text", site: str = "host", ratio: float = 0.1, least_pages: int = 20, least_on: int = 10) -> DataFrame:
-    """pages with `text` less its host's boilerplate lines, and n_lines, n_dropped (long)."""
+def drop_lines(pages: DataFrame, ws: Workspace, text: str = "text", site: str = "host", ratio: float = 0.1, least_pages: int = 20, least_on: int = 10, counts: bool = True) -> DataFrame:
+    """pages with `text` less its host's boilerplate lines and, if `counts`, with n_lines and n_dropped (long)."""
     hashed = F.transform(F.split(F.col(text), "\n"), lambda x: F.xxhash64(F.regexp_replace(x, EDGE, "")))
     empty = F.xxhash64(F.lit(""))
     key = F.struct(F.xxhash64(F.col(site), F.col(text)).alias("a"), F.xxhash64(F.lit(1), F.col(text), F.col(site)).alias("b"))  # 128 bits
@@ -51,14 +51,17 @@ def drop_lines(pages: DataFrame, ws: Workspace, text: str = "text", site: str =
     bad = ws.save(boilerplate(lines, ratio, least_pages, least_on), "boilerplate")
     found = lines.select("_key", "_host", F.explode(F.array_distinct("_lines")).alias("_h"))
     hit = found.join(bad.withColumnRenamed("_host", "_b"), (F.col("_host").eqNullSafe(F.col("_b"))) & (found["_h"] == bad["_h"])).select("_key", found["_h"])
-    per = ws.save(hit.groupBy("_key").agg(F.collect_set("_h").alias("_drop")), "drops")
-    out = pages.withColumn("_key", key).join(per, "_key", "left").withColumn("_drop", F.coalesce("_drop", F.array().cast("array<bigint>")))
+    k, bad_lines, kept = free(pages, "_key", "_drop", "_keep")
+    per = ws.save(hit.groupBy(F.col("_key").alias(k)).agg(F.collect_set("_h").alias(bad_lines)), "drops")
+    out = pages.withColumn(k, key).join(per, k, "left").withColumn(bad_lines, F.coalesce(bad_lines, F.array().cast("array<bigint>")))
     split = F.split(F.col(text), "\n")
-    keep = F.filter(split, lambda x: ~F.array_contains(F.col("_drop"), F.xxhash64(F.regexp_replace(x, EDGE, ""))))
-    out = out.withColumn("_keep", F.when(F.size("_drop") == 0, split).otherwise(keep))
+    keep = F.filter(split, lambda x: ~F.array_contains(F.col(bad_lines), F.xxhash64(F.regexp_replace(x, EDGE, ""))))
+    out = out.withColumn(kept, F.when(F.size(bad_lines) == 0, split).otherwise(keep))
     n = F.coalesce(F.size(split), F.lit(0)).cast("long")
-    rest = [F.array_join("_keep", "\n").alias(c) if c == text else F.col(c) for c in pages.columns]
-    return out.select(*rest, F.when(F.col(text).isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.when(F.col(text).isNull(), 0).otherwise(n - F.size("_keep")).cast("long").alias("n_dropped"))
+    cols = [F.array_join(kept, "\n").alias(c) if c == text else F.col(c) for c in pages.columns]
+    if counts:
+        cols += [F.when(F.col(text).isNull(), 0).otherwise(n).cast("long").alias("n_lines"), F.when(F.col(text).isNull(), 0).otherwise(n - F.size(kept)).cast("long").alias("n_dropped")]
+    return out.select(*cols)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

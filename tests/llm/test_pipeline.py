@@ -16,6 +16,7 @@ def test_stages_take_effect(spark, tmp_path):
         rows.append((i, " ".join(word(k) for _ in range(rng.choice([30, 200]))) + "\nSame footer", k, rng.choice(["a", "a", "b", "c"])))
     rows += [(300 + i, rows[i][1] + " x", rows[i][2], "b") for i in range(40)] + [(900, None, "en", "a"), (901, "123", "de", None)]
     df = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    df = df.selectExpr("*", "1 AS _key", "'x' AS n_dropped", "2 AS _drop", "3 AS _id", "4 AS _copies", "5 AS _gone", "6 AS size", "7 AS slot", "8 AS ambiguous", "9 AS bin", "10 AS shard")
     df.write.parquet(str(tmp_path / "documents.parquet"))
     docs = read(spark, str(tmp_path), "documents")
     kept = []
@@ -85,7 +86,7 @@ def test_line_dedup_odd_cases(spark):
     rows = [(i, "h", f"own {i}\n  footer \n\nfooter") for i in range(20)] + [(20 + i, None, f"no host {i}\nnav") for i in range(20)]
     rows += [(70 + i, "h", "copied page") for i in range(30)]
     rows += [(40, "h", None), (41, "h", ""), (42, "lone", "a\na"), (43, "few", "x\nfooter"), rows[0]]
-    df = spark.createDataFrame(rows, "page_id long, host string, text string").selectExpr("*", "1 AS _h", "2 AS _pages")
+    df = spark.createDataFrame(rows, "page_id long, host string, text string").selectExpr("*", "1 AS _h", "2 AS _pages", "3 AS _key", "4 AS _keep")
     got = drop_lines(df, Workspace(spark, "t")).collect()
     assert len(got) == len(rows)
     by = {r.page_id: r for r in got}
