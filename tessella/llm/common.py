@@ -60,6 +60,11 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def broadcast_if(df: DataFrame, size: Column, most: int = 32 << 20) -> DataFrame:
+    """df, to be broadcast if the sum of `size` (bytes of a row) is at most `most`; beyond that, joins shuffle it."""
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= most else df
+
+
 def shuffles(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

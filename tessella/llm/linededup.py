@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, free, read
+from .common import Workspace, broadcast_if, free, read
 
 EDGE = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
@@ -53,7 +53,7 @@ def drop_lines(pages: DataFrame, ws: Workspace, text: str = "text", site: str =
     hit = found.join(bad.withColumnRenamed("_host", "_b"), (F.col("_host").eqNullSafe(F.col("_b"))) & (found["_h"] == bad["_h"])).select("_key", found["_h"])
     k, bad_lines, kept = free(pages, "_key", "_drop", "_keep")
     per = ws.save(hit.groupBy(F.col("_key").alias(k)).agg(F.collect_set("_h").alias(bad_lines)), "drops")
-    out = pages.withColumn(k, key).join(per, k, "left").withColumn(bad_lines, F.coalesce(bad_lines, F.array().cast("array<bigint>")))
+    out = pages.withColumn(k, key).join(broadcast_if(per, 48 + 8 * F.size(bad_lines)), k, "left").withColumn(bad_lines, F.coalesce(bad_lines, F.array().cast("array<bigint>")))
     split = F.split(F.col(text), "\n")
     keep = F.filter(split, lambda x: ~F.array_contains(F.col(bad_lines), F.xxhash64(F.regexp_replace(x, EDGE, ""))))
     out = out.withColumn(kept, F.when(F.size(bad_lines) == 0, split).otherwise(keep))

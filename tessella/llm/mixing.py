@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, free, read, running_total
+from .common import Workspace, broadcast_if, free, read, running_total
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -103,7 +103,7 @@ def mixed_documents(docs: DataFrame, ws: Workspace, **options) -> DataFrame:
     """
     of, n, c = free(docs, "_id", "_copies", "_copy")
     copies = taken(docs, ws, **options).where("size > 0").groupBy(F.col("doc_id").alias(of)).agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias(n))
-    both = docs.join(ws.save(copies.where(F.col(n) > 0), "copies"), F.col("doc_id").eqNullSafe(F.col(of)), "inner")
+    both = docs.join(broadcast_if(ws.save(copies.where(F.col(n) > 0), "copies"), F.lit(24)), F.col("doc_id").eqNullSafe(F.col(of)), "inner")
     return both.where(n_words("text") > 0).withColumn(c, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
 
 

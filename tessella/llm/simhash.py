@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, blocked, complete_groups, connected_components, dealt, find, free, group_starts, read, unite
+from .common import Workspace, blocked, broadcast_if, complete_groups, connected_components, dealt, find, free, group_starts, read, unite
 
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit and length of each, one more than the bits that may differ
 LIMIT = 8192  # fingerprints of a subtrie in one task; more are dealt in pairs of chunks
@@ -168,7 +168,7 @@ def one_of_each(docs: DataFrame, ws: Workspace) -> DataFrame:
     """docs less those of which a near copy with a smaller doc_id stays; rows with a null doc_id stay."""
     (of,) = free(docs, "_gone")
     gone = near_duplicates(docs, ws).where("component_id <> doc_id").select(F.col("doc_id").alias(of)).distinct()
-    return docs.join(ws.save(gone, "gone"), F.col("doc_id") == F.col(of), "left_anti")
+    return docs.join(broadcast_if(ws.save(gone, "gone"), F.lit(16)), F.col("doc_id") == F.col(of), "left_anti")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
