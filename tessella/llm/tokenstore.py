@@ -59,6 +59,8 @@ class Encoder:
         shown = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or c >= 174]  # byte-level alphabet: these stand for themselves
         hidden = iter(range(256, 512))
         self.letters = {c: chr(c) if c in shown else chr(next(hidden)) for c in range(256)}
+        self.space, self.bare = self.letters[32], {}  # ids of pieces without a space before them
+        self.newline = self._ids(["\n"])[0]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.encode_all(texts, add_special_tokens=False)]
@@ -69,15 +71,20 @@ class Encoder:
         pieces = PIECES.findall(unit)
         if not pieces or len(unit) - lone != sum(map(len, pieces)):
             return None
-        head = self.letters[32]
-        ids = [t.id for t in self.model.tokenize(self.letters[10])] if lone else []
+        out = [self.newline] if lone else []
         for k, p in enumerate(pieces):
-            if not p.isascii():
-                if not p.isalpha():
+            of = self.bare if k or lone else self.known
+            ids = of.get(p)
+            if ids is None:
+                if p.isascii():
+                    shown = p
+                elif p.isalpha():
+                    shown = p.encode().decode("latin-1").translate(self.letters)
+                else:
                     return None
-                p = p.encode().decode("latin-1").translate(self.letters)
-            ids += [t.id for t in self.model.tokenize(p if k or lone else head + p)]
-        return array(self.kind, ids).tobytes()
+                ids = of[p] = array(self.kind, [t.id for t in self.model.tokenize(shown if k or lone else self.space + shown)]).tobytes()
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian bytes of self.width."""
@@ -90,18 +97,29 @@ class Encoder:
         known = self.known
         if len(known) > self.remember:
             known.clear()
-        firsts = {u[0] for u in units}
+            self.bare.clear()
+        firsts = [u[0] for u in units]
+        new: set[str] = set()
+        found = []
+        for u in units:
+            u[0] = ""  # a unit that is always known: the first has no space before it
+            got = list(map(known.get, u))
+            if None in got:
+                new.update(x for x, ids in zip(u, got, strict=True) if ids is None)
+            found.append(got)
         odd = []
-        for x in set().union(*units).difference(known):
+        for x in new:
             ids = self._unit(x)
             if ids is None:
                 odd.append(x)
             else:
                 known[x] = ids
         known.update(zip(odd, self._ids([x if x[:1] == "\n" else " " + x for x in odd]), strict=True))
-        at = dict(zip(firsts, self._ids(list(firsts)), strict=True))
-        for i, u in zip(rest, units, strict=True):
-            out[i] = at[u[0]] + b"".join(map(known.__getitem__, u[1:]))
+        for i, head, u, got in zip(rest, self._ids(firsts), units, found, strict=True):
+            if None in got:
+                got = [known[x] if ids is None else ids for x, ids in zip(u, got, strict=True)]
+            got[0] = head
+            out[i] = b"".join(got)
         return out
 
 
