@@ -23,7 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = drop_lines(docs, Workspace(spark, "line-dedup"), text="text", site="source", counts=False)
+    left = drop_lines(docs, Workspace(spark, "line-dedup"), text="text", site="source", least_pages=1, least_on=3, counts=False)  # the ratio decides, a line on one or two pages is no boilerplate
     return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else left
 
 

@@ -2,7 +2,8 @@
 
 Pages are grouped by host; a line that is on more than `ratio` of a host's pages is boilerplate there and goes. Pages of one
 host with equal text count as one, else the lines of a page that is copied often would all go. A host needs `least_pages` pages, and a
-line must be on `least_on` of them: on few pages a ratio says little.
+line must be on `least_on` of them: on few pages a ratio says little. The query takes 20 and 10, as its SQL does; the pipeline takes 1 and 3, so
+that the ratio decides at every size of a source.
 
 Defined results: a null text gives null; a null host is a host of its own; empty lines are never dropped; lines compare by
 their text without white space around it; a line that repeats on a page counts once for it; an empty table gives an empty

@@ -95,3 +95,11 @@ def test_line_dedup_odd_cases(spark):
     assert (by[40].text, by[40].n_lines) == (None, 0) and by[41].text == ""
     assert by[42].text == "a\na" and by[43].text == "x\nfooter"
     assert drop_lines(df.limit(0), Workspace(spark, "t")).count() == 0
+
+
+def test_line_dedup_stage_cleans_small_sources(spark):
+    rows = [(i, f"own {i}" + "\nfooter" * (i < 4) + "\ntwice" * (i < 2), "small") for i in range(8)]
+    rows += [(100 + i, f"own {i}" + "\nfooter" * (i < 9) + "\nrare" * (i < 3), "middle") for i in range(40)]
+    df = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, df, "").collect()}
+    assert got == {i: t.replace("\nfooter", "") for i, t, _ in rows}
