@@ -5,6 +5,10 @@ text around it is compressed with a dictionary of identifiers and code, once wit
 bytes that it adds tell how much of it neither the dictionary nor its surroundings explain. A token that adds almost its
 own length of bytes is reported as a `novel` span, unless a base span overlaps it.
 
+A token starts at most 48 characters behind any sensitive word, on its line, or on the next line where nothing but signs stands between;
+in a private key block, all lines up to its end are in reach. Tokens joined by '.' or '=' are one; a reported token
+that ends with its line goes on in the next line where that is nothing but a token.
+
 Defined results: a null or empty text has no spans (the sha256 of an empty string); offsets are code points, end
 exclusive; repeated rows each get their own row; an empty table gives an empty table; other columns are not read.
 """
@@ -28,9 +32,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # runs are whole and overlap no other
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "novel")
 
-SENSITIVE = re.compile(r"(?ai:passwords?|passwd|pwd|passphrase|credentials?|secrets?|tokens?|api[_-]?keys?|access[_-]?keys?|private[_-]?keys?|auth(?:orization)?|bearer|session[_-]?id)\b[^\n]{0,48}")
+SENSITIVE = re.compile(r"(?ai:passwords?|passwd|pwd|passphrase|credentials?|secrets?|tokens?|(?:api|access|private)[\x20_-]?keys?|[a-z0-9][_-]keys?|auth(?:orization)?|bearer|session[_-]?id)")
 SENSITIVE_WORDS = ("pass", "pwd", "credential", "secret", "token", "key", "auth", "bearer", "session")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,256}")
+WINDOW = 48  # a candidate starts that near behind a sensitive word, on its line
+RUN = re.compile(r"[A-Za-z0-9+/_=.-]+")
+LEAST, PIECE = 16, 256  # characters of a candidate, and of what is priced at once
+LINE_END = re.compile(r"[-\"':=\x20\t]*\r?\n[\x20\t]*")
+BLOCK = re.compile(r"(?:\x20BLOCK)?-----[\x20\t]*\r?\n")
 
 DICTIONARY = (
     "function return class import export default const static public private protected void string integer boolean "
@@ -40,10 +48,20 @@ DICTIONARY = (
     "ABCDEFGHIJKLMNOPQRSTUVWXYZ abcdefghijklmnopqrstuvwxyz 0123456789 xxxxxxxxxxxxxxxxxxxxxxxx ************************ "
     "AAAAAAAAAAAAAAAAAAAAAAAA 00000000000000000000000000000000 1234567890123456789012345678901234567890 "
 )
+PROSE = (
+    "When the weather improved, everybody walked slowly down through quiet streets towards some market beside a river, whose "
+    "bridges have joined both halves of our city since long before anybody living could remember; merchants offered bread, "
+    "apples, fresh fish and flowers, children played games, while older people just sat and explained what they had heard "
+    "about the government, the new school, the price of grain and the ships that would be expected within a fortnight. "
+)
 
 
 class Novelty:
-    """Bytes that a string adds to its surroundings under zstandard with a raw dictionary."""
+    """Bytes that a string adds to its surroundings under zstandard with a raw dictionary.
+
+    Below some 64 literals zstandard stores them as they are, beyond that it codes them all. PROSE stands before both
+    texts that are compared, so that both are coded and the difference is what the string adds, however short its surroundings are.
+    """
 
     def __init__(self, dictionary: str = DICTIONARY, level: int = 3):
         primed = zstandard.ZstdCompressionDict(dictionary.encode() * 2, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -54,7 +72,7 @@ class Novelty:
 
     def added(self, text: str, start: int, end: int, around: int = 128) -> int:
         before, after = text[max(0, start - around) : start], text[end : end + around]
-        return self.size(before + after + text[start:end]) - self.size(before + after)
+        return self.size(PROSE + before + after + text[start:end]) - self.size(PROSE + before + after)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -69,23 +87,69 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
+def _pieces(text: str, s: int, e: int) -> Iterator[tuple[int, int]]:
+    """What is priced of a run: the whole or, beyond PIECE characters, its parts; and what stands between signs that join."""
+    n = -(-(e - s) // PIECE)
+    for i in range(n):
+        yield s + (e - s) * i // n, s + (e - s) * (i + 1) // n
+    parts = [m.span() for m in re.finditer(r"[^=.]+", text[s:e])]
+    if len(parts) > 1:
+        for a, b in parts:
+            for i in range(s + a, s + b, PIECE):
+                yield i, min(i + PIECE, s + b)
+
+
 def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty, rate: float = 0.6) -> list[tuple[int, int, str]]:
     low = text.lower()
     if not any(w in low for w in SENSITIVE_WORDS):
         return []
-    out, at = [], -1
+    out: list[tuple[int, int]] = []
+    done = 0
+
+    def priced(s: int, e: int, least: int = LEAST) -> bool:
+        """Reports a run that no base span overlaps, if one of its pieces is novel."""
+        while s < e and text[s] in "=.":
+            s += 1
+        while s < e and text[e - 1] == ".":
+            e -= 1
+        digits = sum(c.isdigit() for c in text[s:e])
+        if e - s < least or any(a < e and s < b for a, _, b in base):
+            return False
+        if least == LEAST and (digits in (0, e - s) or not any(novelty.added(text, x, y) >= rate * (y - x) for x, y in _pieces(text, s, e) if y - x >= LEAST)):
+            return False
+        out.append((s, e))
+        return True
+
     for near in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, max(near.start(), at), min(len(text), near.end() + 256)):
-            if m.start() >= near.end():
-                break
+        at, stop = near.end(), near.end() + WINDOW
+        line = text.find("\n", at, stop)
+        stop = line if line >= 0 else min(stop, len(text))
+        block = BLOCK.match(text, at) if near[0][-3:].upper() == "KEY" else None
+        if block:
+            end = text.find("-----END", block.end())
+            at, stop = block.end(), end if end >= 0 else block.end() + 1
+        elif (after := LINE_END.match(text, at)) and after.end() > done:
+            at, stop = after.end(), after.end() + 1
+        at = max(at, done)
+        while at < stop and (m := RUN.search(text, at)) and m.start() < stop:
             s, e = m.span()
-            at = e
-            digits = sum(c.isdigit() for c in m[0])
-            if not digits or digits == e - s or any(a < e and s < b for a, _, b in base):
-                continue
-            if novelty.added(text, s, e) >= rate * (e - s):
-                out.append((s, 3, e))
-    return out
+            done = at = e
+            inner = text.find("=", s, e) if s == near.end() else -1  # the rest of a name, and its value
+            if inner > s and text[inner:e].strip("="):
+                found = priced(s, inner)
+                found = priced(inner, e) or found
+            else:
+                found = priced(s, e, 1 if block and out and out[-1][1] <= s and LINE_END.fullmatch(text, out[-1][1], s) else LEAST)
+            after = LINE_END.match(text, e) if found else None
+            if after and (m := RUN.match(text, after.end())) and (m.end() == len(text) or text[m.end()] in "\r\n"):
+                stop = max(stop, m.start() + 1)  # a run that ends with its line goes on where the next line is a run
+    joined: list[tuple[int, int]] = []
+    for s, e in sorted(out):
+        if joined and s - joined[-1][1] <= 64 and re.fullmatch(r"\r?\n[\x20\t]*", text[joined[-1][1] : s]):
+            joined[-1] = (joined[-1][0], e)
+        else:
+            joined.append((s, e))
+    return [(s, 3, e) for s, e in joined]
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:

@@ -1,7 +1,10 @@
+import base64
 import hashlib
+import random
 import re
+import string
 
-from tessella.llm.secrets import Novelty, base_spans, scan
+from tessella.llm.secrets import Novelty, base_spans, novel_spans, scan
 
 KEYWORD = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 
@@ -50,3 +53,22 @@ def test_scan(spark):
     assert by[13].spans == "novel:19:39"
     assert by[14].spans == ""
     assert scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def novel(text):
+    return [text[s:e] for s, _, e in novel_spans(text, base_spans(text), Novelty())]
+
+
+def noise(k, alphabet=string.ascii_letters + string.digits, rng=random.Random(6)):
+    return "".join(rng.choices(alphabet, k=k))
+
+
+def test_every_sensitive_word_has_its_window():
+    key = noise(24)
+    assert novel("the password of a man is not in the one book the token is in a box at the end of the old hall " + key) == [key]
+    jwt = ".".join(noise(k) for k in (36, 90, 43))
+    assert novel("Authorization: Bearer " + jwt) == [jwt]
+    assert novel("the ssh_key " + key) == novel("its private key: " + key) == [key]
+    lines = base64.encodebytes(random.Random(7).randbytes(600)).decode().rstrip("\n")
+    for end in ("\n-----END RSA PRIVATE KEY-----\n", ""):
+        assert novel(f"-----BEGIN RSA PRIVATE KEY-----\n{lines}{end}") == [lines]
