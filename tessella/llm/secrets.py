@@ -3,9 +3,11 @@
 Base spans are the matches of three fixed patterns. Beside them, a token that stands after a sensitive word is priced: the
 text around it is compressed with a dictionary of identifiers and code, once with the token and once without, and the
 bytes that it adds tell how much of it neither the dictionary nor its surroundings explain. A token that adds almost its
-own length of bytes is reported as a `novel` span, unless a base span overlaps it.
+own length of bytes is reported as a `novel` span, or what base spans leave of it. The price alone decides: random letters and
+digits cost their whole length and more, most words less than the rate of 0.6, but some words cost that too and are reported.
 
-A token starts at most 48 characters behind any sensitive word, on its line, or on the next line where nothing but signs stands between;
+A token is a whole run of 8 characters or more (what base spans leave of it: 8 or more, to be priced), of any length; beyond 256 characters it is priced in pieces.
+It starts at most 48 characters behind any sensitive word, on its line, or on the next line where nothing but signs stands between;
 in a private key block, all lines up to its end are in reach. Tokens joined by '.' or '=' are one; a reported token
 that ends with its line goes on in the next line where that is nothing but a token.
 
@@ -36,7 +38,7 @@ SENSITIVE = re.compile(r"(?ai:passwords?|passwd|pwd|passphrase|credentials?|secr
 SENSITIVE_WORDS = ("pass", "pwd", "credential", "secret", "token", "key", "auth", "bearer", "session")
 WINDOW = 48  # a candidate starts that near behind a sensitive word, on its line
 RUN = re.compile(r"[A-Za-z0-9+/_=.-]+")
-LEAST, PIECE = 16, 256  # characters of a candidate, and of what is priced at once
+LEAST, PIECE = 8, 256  # characters of a candidate, and of what is priced at once
 LINE_END = re.compile(r"[-\"':=\x20\t]*\r?\n[\x20\t]*")
 BLOCK = re.compile(r"(?:\x20BLOCK)?-----[\x20\t]*\r?\n")
 
@@ -99,6 +101,17 @@ def _pieces(text: str, s: int, e: int) -> Iterator[tuple[int, int]]:
                 yield i, min(i + PIECE, s + b)
 
 
+def _left(base: list[tuple[int, int, str]], s: int, e: int) -> list[tuple[int, int]]:
+    """[s, e) less the base spans."""
+    out = []
+    for a, _, b in base:
+        if a < e and s < b:
+            if s < a:
+                out.append((s, a))
+            s = max(s, b)
+    return [*out, (s, e)] if s < e else out
+
+
 def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty, rate: float = 0.6) -> list[tuple[int, int, str]]:
     low = text.lower()
     if not any(w in low for w in SENSITIVE_WORDS):
@@ -107,17 +120,17 @@ def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty, r
     done = 0
 
     def priced(s: int, e: int, least: int = LEAST) -> bool:
-        """Reports a run that no base span overlaps, if one of its pieces is novel."""
+        """Reports a run, or what is left of it beside the base spans, if one of its pieces is novel."""
         while s < e and text[s] in "=.":
             s += 1
         while s < e and text[e - 1] == ".":
             e -= 1
-        digits = sum(c.isdigit() for c in text[s:e])
-        if e - s < least or any(a < e and s < b for a, _, b in base):
+        if e - s < least:
             return False
-        if least == LEAST and (digits in (0, e - s) or not any(novelty.added(text, x, y) >= rate * (y - x) for x, y in _pieces(text, s, e) if y - x >= LEAST)):
+        left = _left(base, s, e)
+        if least == LEAST and not any(novelty.added(text, x, y) >= rate * (y - x) for a, b in left if b - a >= LEAST for x, y in _pieces(text, a, b) if y - x >= LEAST):
             return False
-        out.append((s, e))
+        out.extend(left)
         return True
 
     for near in SENSITIVE.finditer(text):

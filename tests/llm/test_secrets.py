@@ -72,3 +72,11 @@ def test_every_sensitive_word_has_its_window():
     lines = base64.encodebytes(random.Random(7).randbytes(600)).decode().rstrip("\n")
     for end in ("\n-----END RSA PRIVATE KEY-----\n", ""):
         assert novel(f"-----BEGIN RSA PRIVATE KEY-----\n{lines}{end}") == [lines]
+
+
+def test_candidates_are_whole_and_only_the_price_drops_them():
+    for key in (noise(900), noise(9), noise(24, string.ascii_letters), noise(20, string.digits), noise(15)):
+        assert novel("its pwd is " + key) == [key]
+    a, h, b = noise(30, string.ascii_uppercase), noise(32, "0123456789abcdef"), noise(31, string.ascii_uppercase)
+    assert novel(f"bearer {a}{h}{b}") == [a, b]
+    assert novel("its passphrase is a client_secret_refresh_token, 00000000000000000000 or xxxxxxxxxxxxxxxx") == []
