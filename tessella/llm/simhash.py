@@ -165,10 +165,16 @@ def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, ws: Workspace) -> DataFrame:
-    """docs less those of which a near copy with a smaller doc_id stays; rows with a null doc_id stay."""
-    (of,) = free(docs, "_gone")
-    gone = near_duplicates(docs, ws).where("component_id <> doc_id").select(F.col("doc_id").alias(of)).distinct()
-    return docs.join(broadcast_if(ws.save(gone, "gone"), F.lit(16)), F.col("doc_id") == F.col(of), "left_anti")
+    """One row of docs of each component of near copies: that of the smallest doc_id, one with a null doc_id only where all are null."""
+    row, was = free(docs, "_row", "_was")
+    rows = ws.save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    near = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), ws)
+    near = ws.save(near.select(F.col("doc_id").alias("node"), F.col("component_id").alias("group")), "near")
+    ids = rows.select(F.col(row).alias(was), F.col("doc_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("node").alias("node")))
+    kept = near.join(ids, F.col("node") == F.col(was)).groupBy("group").agg(first.alias("first")).select("first.node")
+    gone = near.join(kept, "node", "left_anti").select(F.col("node").alias(was))
+    return rows.join(broadcast_if(ws.save(gone, "gone"), F.lit(16)), F.col(row) == F.col(was), "left_anti").drop(row)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

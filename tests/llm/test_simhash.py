@@ -94,3 +94,10 @@ def test_hot_block_is_dealt_in_chunks(spark, monkeypatch):
 @pytest.mark.parametrize("text", ["doc_id long, text string"])
 def test_empty(spark, text):
     assert near_duplicates(spark.createDataFrame([], text), Workspace(spark, "t")).count() == 0
+
+
+def test_one_row_of_repeated_rows_and_null_ids_stays(spark):
+    rows = [(4, "the same text of some words"), (4, "the same text of some words"), (9, "The same  text of some words"), (None, "the same text of some words")]
+    rows += [(None, "a text without an id here"), (None, "a text without an id here"), (5, "another one")]
+    kept = one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), Workspace(spark, "t")).collect()
+    assert sorted(map(str, (r.doc_id for r in kept))) == ["4", "5", "None"]
