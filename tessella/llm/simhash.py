@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, blocked, broadcast_if, complete_groups, connected_components, dealt, find, free, group_starts, read, unite
+from .jaccard import similar
 
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit and length of each, one more than the bits that may differ
 LIMIT = 8192  # fingerprints of a subtrie in one task; more are dealt in pairs of chunks
@@ -164,12 +165,16 @@ def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
     return both.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, ws: Workspace) -> DataFrame:
-    """One row of docs of each component of near copies: that of the smallest doc_id, one with a null doc_id only where all are null."""
+def one_of_each(docs: DataFrame, ws: Workspace, similarity: float | None = None) -> DataFrame:
+    """One row of docs of each component of near copies, linked too by the Jaccard similarity of five-word shingles if given: that of the smallest doc_id, one with a null doc_id only where all are null."""
     row, was = free(docs, "_row", "_was")
     rows = ws.save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     near = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), ws)
     near = ws.save(near.select(F.col("doc_id").alias("node"), F.col("component_id").alias("group")), "near")
+    if similarity is not None:
+        links = similar(rows.select(F.col(row).alias("node"), "text"), near, ws, similarity=similarity)
+        parts = ws.save(connected_components(links.union(near.where("node <> group")), ws), "similar").withColumnRenamed("node", "_n")
+        near = ws.save(near.join(parts, F.col("node") == F.col("_n"), "left").select("node", F.coalesce("component", "group").alias("group")), "near")
     ids = rows.select(F.col(row).alias(was), F.col("doc_id"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("node").alias("node")))
     kept = near.join(ids, F.col("node") == F.col(was)).groupBy("group").agg(first.alias("first")).select("first.node")
