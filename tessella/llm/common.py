@@ -39,15 +39,25 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = self.path(f"{name}-{uuid.uuid4().hex[:8]}")
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+    def save(self, df: DataFrame, name: str, bucket: str | None = None) -> DataFrame:
+        """The table that df is written to. With `bucket`, a column, it is bucketed by that one: joins by it leave it where it is."""
+        own = uuid.uuid4().hex[:8]
+        path, table = self.path(f"{name}-{own}"), f"tessella_{uuid.uuid4().hex}"
+        to = df.write.option("compression", "zstd")
+        if bucket:
+            to.bucketBy(shuffles(self.spark), bucket).option("path", path).saveAsTable(table)
+            out = self.spark.table(table)
+            out._tessella_table = table
+        else:
+            to.parquet(path)
+            out = self.spark.read.schema(df.schema).parquet(path)
         out._tessella_path = path
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Deletes a table that save() made and nothing reads any more."""
+        if hasattr(df, "_tessella_table"):
+            self.spark.sql(f"DROP TABLE IF EXISTS {df._tessella_table}")
         delete(self.spark, df._tessella_path)
 
 
