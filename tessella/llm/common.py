@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -144,9 +144,20 @@ def blocked(rows: DataFrame, keys: list[str], row_id: str, limit: int) -> DataFr
     return with_n.withColumn("_p", F.explode(pair)).select(*rows.columns, "chunk", "_p.lo", "_p.hi")
 
 
-def dealt(rows: DataFrame, keys: list[str], fn: Callable, schema: str) -> DataFrame:
-    """fn over whole groups: each task sees its groups one after another, sorted by keys."""
-    return rows.repartition(shuffles(rows.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(fn, schema)
+def dealt(rows: DataFrame, keys: list[str], fn: Callable, schema: str, *order: str) -> DataFrame:
+    """fn over whole groups: each task sees its groups one after another, sorted by keys and, within a group, by `order`."""
+    return rows.repartition(shuffles(rows.sparkSession), *keys).sortWithinPartitions(*keys, *order).mapInArrow(fn, schema)
+
+
+def beside(rows: DataFrame, told: DataFrame, column: str, *fields: str) -> DataFrame:
+    """rows (b, seq, ..; bucketed by b) with a column of what `told` (b, seq, fields) has of each: an array of structs.
+
+    The rows stay where they are, only `told` is shuffled to their buckets; a row takes its own out of its task's, so rows are large and few.
+    """
+    one = told.groupBy("b").agg(F.collect_list(F.struct("seq", *fields)).alias(column))
+    both = rows.join(one.hint("shuffle_hash"), "b", "left")
+    own = F.filter(column, lambda x: x["seq"] == F.col("seq"))
+    return both.withColumn(column, F.transform(own, lambda x: F.struct(*[x[f].alias(f) for f in fields])))
 
 
 def find(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -175,16 +186,15 @@ def connected_components(edges: DataFrame, ws: Workspace) -> DataFrame:
     """(node, component): the smallest node that each node of `edges` (a, b) reaches.
 
     Alternating large-star and small-star rounds: the number of rounds grows with the logarithm of the longest path,
-    no node's neighbours are ever gathered in one row, and each round is a table in the shared folder.
+    no node's neighbours are ever gathered in one row, and each round is a table in the shared folder. A node's neighbours are
+    dealt over SALTS tasks, and its smallest neighbour goes to each of these, so a star's centre is no hot key.
     """
     e = ws.save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = _checksum(e)
     while seen[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(m, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        m = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(m, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        large = _with_smallest(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        small = _with_smallest(large).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         new = ws.save(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
         ws.drop(e)
         e, was, seen = new, seen, _checksum(new)
@@ -194,19 +204,33 @@ def connected_components(edges: DataFrame, ws: Workspace) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
 
 
+SALTS = 32
+
+
+def _with_smallest(e: DataFrame) -> DataFrame:
+    """e (u, v) with m, the smallest v of each u. Smallest ones are combined before they are shuffled."""
+    salted = e.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    some = salted.groupBy("u", "s").agg(F.min("v").alias("m"))  # what u's salts have
+    least = some.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("s").alias("s"))  # at most SALTS rows each
+    return salted.join(least.select("u", F.explode("s").alias("s"), "m"), ["u", "s"]).select("u", "v", "m")
+
+
 def _checksum(e: DataFrame) -> tuple[int, int]:
     r = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
     return int(r[0]), int(r[1] or 0)
 
 
-def running_total(df: DataFrame, value: str, order: list[Column], bucket: Column, group: list[str], out: str) -> DataFrame:
+def running_total(df: DataFrame, value: str, order: list[Column], bucket: Column | None, group: list[str], out: str, ws: Workspace | None = None) -> DataFrame:
     """Adds `out`: the sum of `value` over the rows of the group that come before in `order`.
 
-    bucket must not fall as order rises; only the totals of buckets are summed in sequence, so no task sorts a group.
+    bucket must not fall as order rises; without one, rows are sorted into ranges of equally many (and written to ws). Only
+    the totals of buckets are summed in sequence, so no task sorts a group.
     """
-    from pyspark.sql import Window
-
-    b = df.withColumn("_b", bucket)
+    if bucket is None:
+        ranged = df.repartitionByRange(shuffles(df.sparkSession), *[F.col(g) for g in group], *order)
+        b = ws.save(ranged.withColumn("_b", F.spark_partition_id()), "ranges")
+    else:
+        b = df.withColumn("_b", bucket)
     sums = b.groupBy(*group, "_b").agg(F.sum(value).alias("_s"))
     w = Window.partitionBy(*[F.col(g) for g in group]).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_b").alias("_gb"), F.coalesce(F.sum("_s").over(w), F.lit(0)).alias("_before"))

@@ -4,10 +4,15 @@ Each document's ids (with an end id) are cut where a rolling hash of the last id
 equal chunks wherever they stand. Three tables make a file set in the shared folder:
 
 - chunks: chunk (128-bit BLAKE2b of the payload), payload (one byte: width of an id; then the ids, little-endian). Each once.
-- recipes: doc_id, start (ids of all documents before it), n_tokens, root (Merkle root of its chunks), chunks; in ascending doc_id order.
-- manifest: for each part of the recipes its first and last start, number of documents and ids, and the Merkle root of the roots.
+- recipes: part, doc_id, start (ids of all documents before it), n_tokens, root (Merkle root of its chunks), chunks; in ascending doc_id order.
+- manifest: for each part (PART ids) of the recipes its first start, its end, number of documents and ids, and the Merkle root of their roots.
 
-Reading joins recipes with chunks, checks each payload against its name and each document against its root and length.
+Writing: documents are encoded once, into a table that is bucketed by the task that wrote it. Names alone go out to find the first place of each
+chunk; that place is told to the task's bucket, so payloads are written from where they lie and never shuffled.
+
+Reading checks every part of the recipes against the manifest (a lost or changed recipe, file or part is an error), each document
+against its root, and each payload against its name. read_back() takes a checksum of each chunk where it lies and joins the
+checksums by the recipes; read_ids() brings the ids themselves to the documents.
 
 Defined results: a null or empty text is the end id alone; null doc_ids come first; rows of equal doc_id are documents of
 their own, ordered by root; an empty table gives empty tables; other columns are not read. The cut has a least and a greatest length; the
@@ -25,13 +30,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, read, running_total, shuffles
+from .common import Workspace, beside, complete_groups, dealt, group_starts, read, running_total, shuffles
 
 WINDOW = 16
 LEAST, AVERAGE, MOST = 128, 1024, 16384  # ids in a chunk; AVERAGE is a power of two
+PART = 1 << 24  # ids of a part of the recipes
+STAGED = 1 << 21  # ids in a row of the table that documents are encoded to
 UNICODE_SPACE = re.compile("[" + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 NEAR_SPACE = ("  ", " \n", "\n ", "\n\n", "\t\n", "\n\t", "\r\n", "\n\r", " \t", "\t ", " \r", "\r ", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "<|")
 
@@ -172,106 +180,220 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+STAGE = "b int, seq int, doc_ids array<long>, n_tokens array<long>, roots array<binary>, names array<array<binary>>, payloads array<binary>"
+STAGE_TYPES = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.list_(pa.binary())), pa.list_(pa.binary())]
+
+
 def _encoded(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
-        w = bpe.width
+        w, task, seq = bpe.width, TaskContext.get().partitionId(), 0
         end = np.array([end_id], f"<u{w}").tobytes()
+        held: tuple = ([], [], [], [], [])
+
+        def out() -> pa.RecordBatch:
+            nonlocal seq
+            row = pa.record_batch([pa.array([x], t) for x, t in zip((task, seq, *held), STAGE_TYPES, strict=True)], names=["b", "seq", "doc_ids", "n_tokens", "roots", "names", "payloads"])
+            seq += 1
+            for x in held:
+                x.clear()
+            return row
+
         for b in batches:
             for k in range(0, b.num_rows, 64):
                 part = b.slice(k, 64)
-                n, roots, names, payloads = [], [], [], []
                 raws = [x + end for x in bpe.encode([x.as_py() or "" for x in part.column(1)])]
-                for raw, ends in zip(raws, all_cuts([len(x) // w for x in raws], np.frombuffer(b"".join(raws), f"<u{w}")), strict=True):
+                for i, raw, ends in zip(part.column(0).to_pylist(), raws, all_cuts([len(x) // w for x in raws], np.frombuffer(b"".join(raws), f"<u{w}")), strict=True):
                     chunks = [bytes([w]) + raw[i * w : j * w] for i, j in zip([0, *ends], ends, strict=False)]
                     named = [name(c) for c in chunks]
-                    n.append(len(raw) // w)
-                    roots.append(merkle(named))
-                    names.append(named)
-                    payloads.append(chunks)
-                cols = [part.column(0), pa.array(n, pa.int64()), pa.array(roots, pa.binary()), pa.array(names, pa.list_(pa.binary())), pa.array(payloads, pa.list_(pa.binary()))]
-                yield pa.record_batch(cols, names=["doc_id", "n_tokens", "root", "names", "payloads"])
+                    for x, v in zip(held, (i, len(raw) // w, merkle(named), named), strict=False):
+                        x.append(v)
+                    held[4].extend(chunks)
+                if sum(held[1]) >= STAGED:
+                    yield out()
+        if held[0]:
+            yield out()
 
     return run
 
 
+class Part:
+    """What the manifest says of a part, from its recipes in order."""
+
+    def __init__(self, start: int):
+        self.first = self.end = start
+        self.roots: list[bytes] = []
+
+    def add(self, start: int, n: int, root: bytes) -> None:
+        if start != self.end:
+            raise ValueError(f"recipes are lost before id {start}")
+        self.end += n
+        self.roots.append(root)
+
+    def row(self) -> tuple:
+        return self.first, self.end, len(self.roots), merkle(self.roots)
+
+
 def _manifest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    level: list[bytes] = []
-    first = last = ids = None
+    """Rows come sorted by part and start."""
+    part, x = None, None
+
+    def row() -> pa.RecordBatch:
+        return pa.record_batch([pa.array([v]) for v in (part, *x.row())], names=["part", "first_start", "end", "n_docs", "root"])
+
     for b in batches:
-        if b.num_rows:
-            starts = b.column(0)
-            first = starts[0].as_py() if first is None else first
-            last = starts[-1].as_py()
-            ids = (ids or 0) + sum(b.column(1).to_pylist())
-            level += b.column(2).to_pylist()
-    if level:
-        yield pa.record_batch([pa.array([x]) for x in (first, last, len(level), ids, merkle(level))], names=["first_start", "last_start", "n_docs", "n_tokens", "root"])
+        for p, start, n, root in zip(*(b.column(c).to_pylist() for c in ("part", "start", "n_tokens", "root")), strict=True):
+            if p != part:
+                if x is not None:
+                    yield row()
+                part, x = p, Part(start)
+            x.add(start, n, root)
+    if x is not None:
+        yield row()
 
 
 def write(docs: DataFrame, ws: Workspace, tokenizer: str, end_id: int = 2) -> dict[str, str]:
     """Writes chunks, recipes and manifest; their paths by name."""
     spark = docs.sparkSession
-    schema = "doc_id long, n_tokens long, root binary, names array<binary>, payloads array<binary>"
-    staged = ws.save(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_encoded(tokenizer, end_id), schema), "staged")
+    staged = ws.save(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_encoded(tokenizer, end_id), STAGE), "staged", "b")
     at = {k: ws.path(k) for k in ("chunks", "recipes", "manifest")}
-    each = staged.select(F.explode(F.arrays_zip("names", "payloads")).alias("c")).select(F.col("c.names").alias("chunk"), F.col("c.payloads").alias("payload"))
-    each.groupBy("chunk").agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(at["chunks"])
-    recipes = ws.save(staged.select("doc_id", "n_tokens", "root", "names"), "unplaced")
+    named = staged.select("b", "seq", F.posexplode(F.flatten("names")).alias("place", "name"))
+    first = named.groupBy("name").agg(F.min(F.struct("b", "seq", "place")).alias("at")).select("at.*")
+    own = beside(staged.select("b", "seq", F.flatten("names").alias("names"), "payloads"), first, "own", "place")
+    pick = F.transform("own", lambda x: F.struct(F.get("names", x["place"]).alias("chunk"), F.get("payloads", x["place"]).alias("payload")))
+    own.select(F.explode(pick).alias("c")).select("c.*").write.option("compression", "zstd").parquet(at["chunks"])
+    each = staged.select(F.explode(F.arrays_zip("doc_ids", "n_tokens", "roots", "names")).alias("d"))
+    recipes = ws.save(each.select(F.col("d.doc_ids").alias("doc_id"), F.col("d.n_tokens").alias("n_tokens"), F.col("d.roots").alias("root"), F.col("d.names").alias("names")), "unplaced")
     ws.drop(staged)
-    lo, hi = recipes.agg(F.min("doc_id"), F.max("doc_id")).first()
-    width = max(1, ((hi or 0) - (lo or 0)) // 4096 + 1)
-    placed = running_total(recipes, "n_tokens", [F.col("doc_id").asc_nulls_first(), F.col("root")], F.coalesce(F.floor((F.col("doc_id") - (lo or 0)) / width), F.lit(-1)), [], "start")
-    ordered = placed.select("doc_id", F.col("start").cast("long"), "n_tokens", "root", F.col("names").alias("chunks")).repartitionByRange(shuffles(spark), "start").sortWithinPartitions("start")
+    placed = running_total(recipes, "n_tokens", [F.col("doc_id").asc_nulls_first(), F.col("root")], None, [], "start", ws)
+    start = F.col("start").cast("long")
+    ordered = placed.select(F.floor(start / PART).alias("part"), "doc_id", start.alias("start"), "n_tokens", "root", F.col("names").alias("chunks")).repartitionByRange(shuffles(spark), "start").sortWithinPartitions("start")
     ordered.write.option("compression", "zstd").parquet(at["recipes"])
     ws.drop(recipes)
-    parts = spark.read.parquet(at["recipes"]).select("start", "n_tokens", "root").mapInArrow(_manifest, "first_start long, last_start long, n_docs long, n_tokens long, root binary")
-    parts.write.parquet(at["manifest"])
+    parts = spark.read.parquet(at["recipes"]).select("part", "start", "n_tokens", "root").repartition(shuffles(spark), "part").sortWithinPartitions("part", "start")
+    parts.mapInArrow(_manifest, "part long, first_start long, end long, n_docs long, root binary").write.parquet(at["manifest"])
     return at
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by document and place; a document's state is a checksum, its names and a count, never its ids."""
-    state = None
-    done: list[tuple] = []
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by part, the manifest's first: a row for each chunk of each recipe, once a document agrees with its root."""
+    said, x = None, None
 
     def close() -> None:
-        doc_id, start, n, root, names, got, crc = state
-        if got != n or merkle(names) != root:
-            raise ValueError(f"document {doc_id} doesn't match its recipe: {got} of {n} ids")
-        done.append((doc_id, start, n, crc))
-
-    def flush() -> pa.RecordBatch:
-        out = pa.record_batch([pa.array(c, pa.int64()) for c in zip(*done, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-        done.clear()
-        return out
+        if said is not None and x.row() != said[1:]:
+            raise ValueError(f"part {said[0]} of the recipes isn't what the manifest says")
 
     for b in batches:
-        for doc_id, start, n, root, chunk, payload in zip(*(b.column(c).to_pylist() for c in ("doc_id", "start", "n_tokens", "root", "chunk", "payload")), strict=True):
-            if state is None or state[1] != start:
-                if state is not None:
-                    close()
-                state = [doc_id, start, n, root, [], 0, 0]
-            if payload is None or name(payload) != chunk:
-                raise ValueError(f"a chunk of document {doc_id} is lost or changed")
-            ids = np.frombuffer(payload, f"<u{payload[0]}", offset=1)
-            state[4].append(chunk)
-            state[5] += len(ids)
-            state[6] = zlib.crc32(ids.astype("<u4").tobytes(), state[6])
-        if len(done) >= 4096:
-            yield flush()
-    if state is not None:
-        close()
-    if done:
-        yield flush()
+        out: list[list] = [[], [], [], [], [], []]
+        for part, doc_id, start, n, root, chunks, *told in zip(*(b.column(c).to_pylist() for c in ("part", "doc_id", "start", "n_tokens", "root", "chunks", "first_start", "end", "n_docs")), strict=True):
+            if chunks is None:
+                close()
+                said, x = (part, *told, root), Part(told[0])
+                continue
+            if said is None or said[0] != part:
+                raise ValueError(f"the manifest has no part {part}")
+            if merkle(chunks) != root:
+                raise ValueError(f"document {doc_id} doesn't match its root")
+            x.add(start, n, root)
+            for c, v in zip(out, ([doc_id] * len(chunks), [start] * len(chunks), [n] * len(chunks), [len(chunks)] * len(chunks), range(len(chunks)), chunks), strict=True):
+                c.extend(v)
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "start", "n_tokens", "n_chunks", "place", "chunk"])
+    close()
+
+
+def verified(spark: SparkSession, at: dict[str, str]) -> DataFrame:
+    """doc_id, start, n_tokens, n_chunks, place, chunk: the recipes, as the manifest says they must be."""
+    manifest = spark.read.parquet(at["manifest"])
+    whole = manifest.agg(F.sum(F.col("end") - F.col("first_start")), F.max("end")).first()
+    if (whole[0] or 0) != (whole[1] or 0):
+        raise ValueError("the manifest lacks parts")
+    null = lambda kind, *names: [F.lit(None).cast(kind).alias(n) for n in names]
+    said = manifest.select("part", *null("long", "doc_id", "start", "n_tokens"), "root", *null("array<binary>", "chunks"), "first_start", "end", "n_docs")
+    recipes = spark.read.parquet(at["recipes"]).select("part", "doc_id", "start", "n_tokens", "root", "chunks", *null("long", "first_start", "end", "n_docs"))
+    rows = said.union(recipes).repartition(shuffles(spark), "part").sortWithinPartitions("part", F.col("chunks").isNotNull(), "start")
+    return rows.mapInArrow(_verified, "doc_id long, start long, n_tokens long, n_chunks int, place int, chunk binary")
+
+
+def _ids(chunk: bytes, payload: bytes) -> np.ndarray:
+    if name(payload) != chunk:
+        raise ValueError(f"chunk {chunk.hex()} is changed")
+    return np.frombuffer(payload, f"<u{payload[0]}", offset=1).astype("<u4")
+
+
+def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        ids = [_ids(c, p) for c, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        yield pa.record_batch([b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())], names=["chunk", "n", "crc"])
+
+
+@functools.cache
+def _zeros() -> np.ndarray:
+    """What 2**k bytes of zeros behind a text do to its crc32, which is linear: for each k and byte of the crc, a table of 256."""
+    step = np.concatenate(([0xEDB88320], 1 << np.arange(31))).astype(np.uint32)  # one bit
+    out = np.zeros((44, 4, 256), np.uint32)
+
+    def apply(m: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return np.bitwise_xor.reduce(np.where(x[None] >> np.arange(32, dtype=np.uint32)[:, None] & 1 == 1, m[:, None], np.uint32(0)), 0)
+
+    for k in range(-3, 44):
+        if k >= 0:
+            for j in range(4):
+                out[k, j] = apply(step, np.arange(256, dtype=np.uint32) << np.uint32(8 * j))
+        step = apply(step, step)
+    return out
+
+
+def shifted(crc: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The part in a longer text's crc32 of a text that n bytes follow."""
+    crc, tables = crc.astype(np.uint32), _zeros()
+    for k in range(int(n.max(initial=0)).bit_length()):
+        on = np.flatnonzero(n >> k & 1)
+        x = crc[on]
+        crc[on] = tables[k, 0][x & 255] ^ tables[k, 1][x >> 8 & 255] ^ tables[k, 2][x >> 16 & 255] ^ tables[k, 3][x >> 24]
+    return crc
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by document and place: each document's checksum is that of its chunks, one after another."""
+    for t in complete_groups(batches, ["start"]):
+        starts = group_starts(t, ["start"])
+        first = starts[:-1]
+        if t.column("crc").null_count:
+            raise ValueError(f"a chunk of document {t.column('doc_id')[t.column('crc').to_pylist().index(None)]} is lost")
+        n, crc, total, doc = (t.column(c).to_numpy() for c in ("n", "crc", "n_tokens", "start"))
+        end = np.cumsum(n)
+        size = np.diff(starts)
+        last = np.repeat(end[starts[1:] - 1], size)
+        got = end[starts[1:] - 1] - end[first] + n[first]
+        if (got != total[first]).any() or (size != t.column("n_chunks").to_numpy()[first]).any():
+            raise ValueError(f"document at id {doc[first][np.flatnonzero(got != total[first])]} hasn't its length")
+        whole = np.bitwise_xor.reduceat(shifted(crc, 4 * (last - end)), first).astype(np.int64)
+        yield pa.record_batch([t.column("doc_id").combine_chunks().take(pa.array(first)), pa.array(doc[first]), pa.array(total[first]), pa.array(whole)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_back(spark: SparkSession, at: dict[str, str]) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, rebuilt from the files."""
-    recipes = spark.read.parquet(at["recipes"]).select("doc_id", "start", "n_tokens", "root", F.posexplode("chunks").alias("place", "chunk"))
-    both = recipes.join(spark.read.parquet(at["chunks"]), "chunk", "left")
-    rows = both.repartition(shuffles(spark), "start").sortWithinPartitions("start", "place")
-    return rows.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    """doc_id, start, n_tokens, ids_crc32 of each document, from the files."""
+    sums = spark.read.parquet(at["chunks"]).select("chunk", "payload").mapInArrow(_checksums, "chunk binary, n long, crc long")
+    both = verified(spark, at).join(sums, "chunk", "left")
+    return dealt(both, ["start"], _joined, "doc_id long, start long, n_tokens long, ids_crc32 long", "place")
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for t in complete_groups(batches, ["start"], 1024):
+        starts = group_starts(t, ["start"])
+        chunks, payloads = t.column("chunk").to_pylist(), t.column("payload").to_pylist()
+        if None in payloads:
+            raise ValueError(f"a chunk of document {t.column('doc_id')[payloads.index(None)]} is lost")
+        ids = [np.concatenate([_ids(chunks[i], payloads[i]) for i in range(a, b)]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+        first = pa.array(starts[:-1])
+        yield pa.record_batch([t.column("doc_id").combine_chunks().take(first), t.column("start").combine_chunks().take(first), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], names=["doc_id", "start", "ids"])
+
+
+def read_ids(spark: SparkSession, at: dict[str, str]) -> DataFrame:
+    """doc_id, start, ids of each document, from the files."""
+    both = verified(spark, at).join(spark.read.parquet(at["chunks"]), "chunk", "left")
+    return dealt(both, ["start"], _gathered, "doc_id long, start long, ids array<int>", "place")
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

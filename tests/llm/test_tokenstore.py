@@ -1,4 +1,5 @@
 import random
+import uuid
 import zlib
 
 import numpy as np
@@ -8,7 +9,7 @@ from tokenizers import Tokenizer
 
 from tessella.llm import tokenstore
 from tessella.llm.common import Workspace
-from tessella.llm.tokenstore import Encoder, all_cuts, read_back, write
+from tessella.llm.tokenstore import Encoder, all_cuts, read_back, read_ids, shifted, write
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [None, "", " ", "a", "two words", " lead and trail ", "x  y", "tab\t here \nline\n next", "can't we'll 12 3.5 --- ...", "é ñ ß 日本 語 x 　y", "<|endoftext|> in text", "a\x0b b \x1c c", "end\n", "\n\n  \n"]
@@ -54,6 +55,8 @@ def test_round_trip(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS start", "2 AS root")
     at = write(df, Workspace(spark, "t"), PATH)
     assert sorted(tuple(r) for r in read_back(spark, at).collect()) == want(rows)
+    library = Tokenizer.from_file(PATH)
+    assert {r.doc_id: list(r.ids) for r in read_ids(spark, at).collect()} == {i: [*library.encode(t or "", add_special_tokens=False).ids, 2] for i, t in rows}
     recipes, chunks = spark.read.parquet(at["recipes"]), spark.read.parquet(at["chunks"])
     assert chunks.count() == chunks.select("chunk").distinct().count() < recipes.selectExpr("explode(chunks)").count()
     assert spark.read.parquet(at["manifest"]).agg({"n_docs": "sum"}).first()[0] == len(rows)
@@ -68,10 +71,38 @@ def test_equal_and_null_ids_and_no_rows(spark):
     assert read_back(spark, none).count() == 0
 
 
-def test_a_changed_chunk_is_found(spark, monkeypatch):
-    at = write(spark.createDataFrame([(1, "some text")], "doc_id long, text string"), Workspace(spark, "t"), PATH)
-    bad = spark.read.parquet(at["chunks"]).selectExpr("chunk", "concat(payload, X'0000') AS payload")
-    bad.write.parquet(at["chunks"] + "-bad")
-    with pytest.raises(Exception, match="lost or changed"):
-        read_back(spark, {**at, "chunks": at["chunks"] + "-bad"}).collect()
+def rewritten(spark, at, name, *exprs, where="true"):
+    to = f"{at[name]}-{uuid.uuid4().hex}"
+    spark.read.parquet(at[name]).where(where).selectExpr(*exprs).coalesce(1).write.parquet(to)
+    return {**at, name: to}
+
+
+@pytest.mark.parametrize("read", [read_back, read_ids])
+def test_what_is_lost_or_changed_is_found(spark, monkeypatch, read):
+    monkeypatch.setattr(tokenstore, "PART", 3)
+    rows = [(i, f"some text {i}") for i in range(12)]
+    at = write(spark.createDataFrame(rows, "doc_id long, text string"), Workspace(spark, "t"), PATH)
+    assert spark.read.parquet(at["manifest"]).count() > 3
+    assert read(spark, at).count() == 12
+    for other, what in (
+        (rewritten(spark, at, "chunks", "chunk", "concat(payload, X'0000') AS payload"), "is changed"),
+        (rewritten(spark, at, "chunks", "*", where="chunk <> (SELECT min(chunk) FROM parquet.`%s`)" % at["chunks"]), "is lost"),
+        (rewritten(spark, at, "recipes", "*", where="doc_id <> 4"), "recipes"),
+        (rewritten(spark, at, "recipes", "*", where="doc_id < 11"), "recipes"),
+        (rewritten(spark, at, "recipes", "*", where="part <> 9"), "recipes"),
+        (rewritten(spark, at, "recipes", "part", "CASE doc_id WHEN 3 THEN 33 ELSE doc_id END AS doc_id", "start", "n_tokens", "substring(root, 2) AS root", "chunks"), "root"),
+        (rewritten(spark, at, "recipes", "part", "doc_id", "start", "n_tokens + CAST(doc_id = 2 AS INT) AS n_tokens", "root", "chunks"), "recipes"),
+        (rewritten(spark, at, "manifest", "*", where="part <> (SELECT max(part) FROM parquet.`%s`)" % at["manifest"]), "no part"),
+        (rewritten(spark, at, "manifest", "*", where="part <> (SELECT min(part) FROM parquet.`%s`)" % at["manifest"]), "lacks parts"),
+    ):
+        with pytest.raises(Exception, match=what):
+            read(spark, other).collect()
     assert tokenstore.merkle([b"a", b"b"]) != tokenstore.merkle([b"b", b"a"])
+
+
+def test_checksums_of_parts_join():
+    rng = random.Random(4)
+    parts = [rng.randbytes(rng.choice([0, 1, 4, 1000, 70001])) for _ in range(40)]
+    after = [sum(map(len, parts[i + 1 :])) for i in range(len(parts))]
+    got = shifted(np.array([zlib.crc32(p) for p in parts]), np.array(after))
+    assert int(np.bitwise_xor.reduce(got)) == zlib.crc32(b"".join(parts))
