@@ -1,8 +1,10 @@
 """Mixing sources to target weights by a low-discrepancy schedule. DataFrame functions only.
 
 Points i * golden ratio (mod 1) fall through the cumulative targets of the sources, which gives each slot of the mix a
-source; the k-th slot of a source takes its k-th block of equally many words, from that source's documents laid end to
-end in a shuffled order, again from the start once all are taken.
+source; the k-th slot of a source takes its k-th block of BLOCK words, from that source's documents laid end to
+end in a shuffled order, again from the start once all are taken. There are as many slots as blocks in the sum of all targets,
+and what the mix takes of a document is what the slots' blocks hold of it: a block that no slot has is not taken. The points serve a
+source to within a slot or two of its target.
 
 Defined results: a null text has size 0; a document of size 0 takes nothing; a null source is a source, the last one;
 repeated rows and equal ids are taken on their own account; an empty table gives an empty table; other columns are
@@ -16,12 +18,13 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, broadcast_if, free, read, running_total
+from .common import Workspace, free, read, running_total
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 GOLDEN = (math.sqrt(5) - 1) / 2
 CELLS = 4096
+BLOCK = 1024
 
 
 def n_words(text: str | Column) -> Column:
@@ -59,41 +62,40 @@ def schedule(spark: SparkSession, sources: DataFrame, n_slots: int) -> DataFrame
     return running_total(slots, "one", [F.col("slot")], F.shiftright("slot", 16), ["idx"], "k").select("slot", "idx", "k")
 
 
-def mix(docs: DataFrame, ws: Workspace, block: int = 4096, seed: str = "mix", weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """A row for each piece of a document in a block of the mix, and one with no slot for a document that has none:
-    doc_id, size, source, source_size, target, at (its place in its source), slot, start (its first word), words.
+def mix(docs: DataFrame, ws: Workspace, block: int = BLOCK, seed: str = "mix", weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """A row for each piece of a document in a block of its source, with the block's slot in the mix, null where it has none;
+    one row with null words for a document without words: doc_id, size, source, source_size, target, at (its place in its
+    source), slot, start (its first word), words.
 
     docs: doc_id, source, text. A slot's pieces, in order of `at` and `start`, are its words.
     """
     spark = docs.sparkSession
     sized = ws.save(docs.select("doc_id", "source", n_words("text").alias("size")), "sized")
     sources = ws.save(targets(sized, weights, share, most), "sources")
-    total = sources.agg(F.sum("target"), F.count("*")).first()
-    n_slots = math.ceil((total[0] or 0) / block) + total[1]
+    n_slots = math.floor((sources.agg(F.sum("target")).first()[0] or 0) / block + 0.5)
     known = sized.join(sources, sized["source"].eqNullSafe(sources["source"]), "inner").select("doc_id", "size", sized["source"], "idx", "source_size", "target")
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f"|{seed}")))
     known = known.withColumn("_h", key)
     placed = running_total(known, "size", [F.col("_h"), F.col("doc_id"), F.col("size")], F.substring("_h", 1, 3), ["idx"], "at").drop("_h")
-    words = F.round("target").cast("long")
-    turn = lambda q: F.struct((F.col("at") + q * F.col("source_size")).alias("lo"), F.least(F.col("at") + q * F.col("source_size") + F.col("size"), words).alias("hi"))
+    end = F.floor(F.lit(most) * F.col("source_size")).cast("long")  # no source is taken beyond that
+    turn = lambda q: F.struct((F.col("at") + q * F.col("source_size")).alias("lo"), F.least(F.col("at") + q * F.col("source_size") + F.col("size"), end).alias("hi"))
     turns = placed.withColumn("t", F.explode_outer(F.filter(F.array(*[turn(q) for q in range(math.ceil(most))]), lambda t: t.hi > t.lo)))
     ks = F.when(F.col("t").isNotNull(), F.sequence(F.floor(F.col("t.lo") / block), F.floor((F.col("t.hi") - 1) / block)))
     cut = turns.withColumn("k", F.explode_outer(ks))
     lo, hi = F.greatest("t.lo", F.col("k") * block), F.least("t.hi", (F.col("k") + 1) * block)
     pieces = cut.select("doc_id", "size", "source", "idx", "source_size", "target", "at", "k", (lo - F.col("t.lo")).alias("start"), (hi - lo).alias("words"))
-    slots = schedule(spark, sources, n_slots)
-    last = n_slots + F.col("k") * (total[1] or 1) + F.col("idx")  # a source that the points served a slot or two short takes them at the end
-    out = pieces.join(slots, ["idx", "k"], "left")
-    return out.select("doc_id", "size", "source", "source_size", "target", "at", F.when(F.col("k").isNotNull(), F.coalesce("slot", last)).alias("slot"), "start", "words")
+    out = pieces.join(schedule(spark, sources, n_slots), ["idx", "k"], "left")
+    return out.select("doc_id", "size", "source", "source_size", "target", "at", "slot", "start", "words")
 
 
 def taken(docs: DataFrame, ws: Workspace, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken: a row for each document."""
+    """doc_id, size, source_size, target, taken, first_slot: a row for each document. first_slot: where the mix has it first, if it does."""
     by = ["doc_id", "size", "source", "source_size", "target", "at"]
     pieces = mix(docs, ws, **options)
-    some = pieces.where("size > 0").groupBy(*by).agg(F.coalesce(F.sum("words"), F.lit(0)).cast("long").alias("taken"))
-    none = pieces.where("size = 0").select(*by, F.lit(0).cast("long").alias("taken"))
-    return some.union(none).select("doc_id", "size", "source_size", "target", "taken")
+    words = F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col("words"))), F.lit(0)).cast("long")
+    some = pieces.where("size > 0").groupBy(*by).agg(words.alias("taken"), F.min("slot").alias("first_slot"))
+    none = pieces.where("size = 0").select(*by, F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_slot"))
+    return some.union(none).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def mixed_documents(docs: DataFrame, ws: Workspace, **options) -> DataFrame:
@@ -103,7 +105,7 @@ def mixed_documents(docs: DataFrame, ws: Workspace, **options) -> DataFrame:
     """
     of, n, c = free(docs, "_id", "_copies", "_copy")
     copies = taken(docs, ws, **options).where("size > 0").groupBy(F.col("doc_id").alias(of)).agg(F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int").alias(n))
-    both = docs.join(broadcast_if(ws.save(copies.where(F.col(n) > 0), "copies"), F.lit(24)), F.col("doc_id").eqNullSafe(F.col(of)), "inner")
+    both = docs.join(copies.where(F.col(n) > 0), F.col("doc_id").eqNullSafe(F.col(of)), "inner")
     return both.where(n_words("text") > 0).withColumn(c, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
 
 
@@ -119,10 +121,18 @@ w AS (SELECT *, CASE idx % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELS
 l AS (SELECT *, (1.5::DOUBLE * CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(cap) OVER f, 0.0::DOUBLE)) / (sum(w) OVER () - coalesce(sum(w) OVER f, 0.0::DOUBLE)) AS lvl
       FROM w WINDOW f AS (ORDER BY cap / w, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, source_size, least(cap, w * max(lvl) OVER ()) AS target FROM l),
-p AS (SELECT d.doc_id, d.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS words,
+r AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS idx FROM t),
+c AS (SELECT idx, target, coalesce(sum(target) OVER o, 0.0::DOUBLE) / sum(target) OVER () AS lo, sum(target) OVER () AS total FROM r WINDOW o AS (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT idx, lo, lead(lo, 1, 1.0::DOUBLE) OVER (ORDER BY idx) AS hi FROM c WHERE target > 0),
+n AS (SELECT CAST(floor(coalesce(max(total), 0) / 1024 + 0.5::DOUBLE) AS BIGINT) AS slots FROM c),
+x AS (SELECT i AS slot, i * 0.6180339887498949::DOUBLE - floor(i * 0.6180339887498949::DOUBLE) AS x FROM n, unnest(range(n.slots)) AS u(i)),
+k AS (SELECT slot, idx, row_number() OVER (PARTITION BY idx ORDER BY slot) - 1 AS k FROM x JOIN f ON x >= lo AND x < hi),
+w2 AS (SELECT idx, count(*) * 1024 AS words FROM k GROUP BY idx),
+p AS (SELECT d.doc_id, d.size, r.idx, r.source_size, r.target, least(coalesce(w2.words, 0), 2 * r.source_size) AS words,
         CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(d.doc_id AS VARCHAR), '') || '|mix'), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+      FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source LEFT JOIN w2 ON w2.idx = r.idx)
 SELECT doc_id, size, source_size, target,
-  CAST(greatest(0, least(pos + size, words) - pos) + greatest(0, least(pos + source_size + size, words) - pos - source_size) AS BIGINT) AS taken
-FROM p
+  CAST(greatest(0, least(pos + size, words) - pos) + greatest(0, least(pos + source_size + size, words) - pos - source_size) AS BIGINT) AS taken,
+  CASE WHEN size > 0 THEN k.slot END AS first_slot
+FROM p LEFT JOIN k ON k.idx = p.idx AND k.k = p.pos // 1024
 """
