@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -18,14 +19,17 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own, for the application's life, only where that is unset, as in tests."""
+    """The folder that spark.checkpoint.dir names. Only where that is unset: a folder of our own for the application's life if all of it runs in this process, as in tests, else one in the warehouse."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
         app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = tempfile.mkdtemp(prefix="tessella-")
-            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
-        where = _own[app]
+        if re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            if app not in _own:
+                _own[app] = tempfile.mkdtemp(prefix="tessella-")
+                atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+            where = _own[app]
+        else:
+            where = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tessella-{app}"
     return where.rstrip("/")
 
 
@@ -78,11 +82,6 @@ def free(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def broadcast_if(df: DataFrame, size: Column, most: int = 32 << 20) -> DataFrame:
-    """df, to be broadcast if the sum of `size` (bytes of a row) is at most `most`; beyond that, joins shuffle it."""
-    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= most else df
-
-
 def shuffles(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

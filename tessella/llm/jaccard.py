@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, blocked, broadcast_if, complete_groups, dealt, group_starts
+from .common import Workspace, blocked, complete_groups, dealt, group_starts
 
 BANDS, ROWS = 30, 6
 LIMIT = 2048  # documents of a band's bucket in one task; more are dealt in pairs of chunks
@@ -135,7 +135,7 @@ def similar(docs: DataFrame, groups: DataFrame, ws: Workspace, words: int = 5, s
     met = ws.save(rows.join(several, "head", "left_semi"), "buckets")
     pairs = ws.save(dealt(blocked(met, ["head"], "node", LIMIT), ["head", "lo", "hi"], _pairs(similarity), "a long, b long").distinct(), "pairs")
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = ws.save(texts.join(broadcast_if(asked, F.lit(16)), "node", "left_semi").mapInArrow(_sets(words), "node long, set binary"), "sets")
+    sets = ws.save(texts.join(asked, "node", "left_semi").mapInArrow(_sets(words), "node long, set binary"), "sets")
     left, right = (sets.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
     near = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(_near(similarity), "a long, b long")
     return near.union(same)

@@ -1,10 +1,11 @@
 """SimHash near-dedup by a binary trie that joins itself.
 
-Equal fingerprints are one leaf. Of five blocks of a fingerprint's 64 bits, two fingerprints that differ in at most four
-bits agree in one, so each block in turn is put first and splits the trie into subtries that tasks hold: below a common
-first block, pairs of nodes are traversed together, a pair's differing bits are summed, and the pair is left when
-they exceed the budget. A pair whose leaves are all linked already is left too, as only the components are asked for;
-that keeps a large group of near copies from costing its square. Each task returns a spanning forest.
+Equal fingerprints are one leaf. If a fingerprint's 64 bits are cut into blocks, two fingerprints that differ in at most four
+bits agree in all but four of these. So each choice of so many blocks in turn is put first, and splits the trie into subtries that
+tasks hold: below common first blocks, pairs of nodes are traversed together, a pair's differing bits are summed, and the pair is
+left when they exceed the budget. How many blocks there are goes by the number of fingerprints, so that a subtrie has
+LIMIT of them or fewer on average: 5 layouts of 12 bits or more, then 15 of 21, then 70 of 32. A pair whose leaves are all linked already is left too, as only the
+components are asked for; that keeps a large group of near copies from costing its square. Each task returns a spanning forest.
 
 Defined results: a null or empty text has no words and the fingerprint zero, which links like any other; rows of equal
 doc_id are one node; a row with a null doc_id gets its fingerprint and no component, and links with nothing; an empty
@@ -13,7 +14,9 @@ table gives an empty table; other columns are not read.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +24,32 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, blocked, broadcast_if, complete_groups, connected_components, dealt, find, free, group_starts, read, unite
+from .common import Workspace, blocked, complete_groups, connected_components, dealt, find, free, group_starts, read, unite
 from .jaccard import similar
 
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # first bit and length of each, one more than the bits that may differ
+BUDGET = 4  # bits that may differ
 LIMIT = 8192  # fingerprints of a subtrie in one task; more are dealt in pairs of chunks
 
 
+def layouts(n: int, limit: int = LIMIT) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """For n fingerprints: orders of the blocks (first bit and length of each), with the bits of those that come first."""
+    for blocks in (5, 6, 8):
+        cut = [64 * i // blocks for i in range(blocks + 1)]
+        if blocks == 8 or n < limit << min(sum(sorted(b - a for a, b in zip(cut, cut[1:], strict=False))[: blocks - BUDGET]), 62):
+            break
+    parts = [(a, b - a) for a, b in zip(cut, cut[1:], strict=False)]
+    lead = [c for c in itertools.combinations(range(blocks), blocks - BUDGET)]
+    return [((*(parts[i] for i in c), *(x for i, x in enumerate(parts) if i not in c)), sum(parts[i][1] for i in c)) for c in lead]
+
+
+def turned(fp: np.ndarray, order: tuple[tuple[int, int], ...]) -> np.ndarray:
+    """fp with its blocks in that order."""
+    out = np.zeros_like(fp)
+    for at, n in order:
+        out = (out << np.uint64(n)) | ((fp >> np.uint64(64 - at - n)) & np.uint64((1 << n) - 1))
+    return out
+
+
 def fingerprint(text: bytes, words: int = 4, seed: int = 42, step: int = 1 << 16) -> int:
     w = text.lower().split()  # of bytes: only A-Z change, and only the six ASCII white spaces part words
     if not w:
@@ -118,51 +140,57 @@ def _leaves(fp: np.ndarray, parent: np.ndarray, r: np.ndarray, na: np.ndarray, n
         i = j
 
 
-def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys = ["block", "head", "lo", "hi"]
-    for t in complete_groups(batches, keys):
-        starts = group_starts(t, keys)
-        block, lo, hi, chunk = (t.column(c).to_numpy() for c in ("block", "lo", "hi", "chunk"))
-        fp, rep = t.column("fp").to_numpy().view(np.uint64), t.column("rep").to_numpy()
-        group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-        for k, (at, length) in enumerate(BLOCKS):
-            rows = np.flatnonzero(block == k)
-            if not len(rows):
-                continue
-            turned = (fp[rows] << np.uint64(at)) | (fp[rows] >> np.uint64((64 - at) % 64)) if at else fp[rows]
-            order = np.lexsort((turned, chunk[rows], group[rows]))
-            rows, turned = rows[order], turned[order]
-            g, c = group[rows], chunk[rows]
-            cut = np.concatenate(([0], np.flatnonzero((g[1:] != g[:-1]) | (c[1:] != c[:-1])) + 1, [len(rows)]))
-            roots, i = [], 0
-            while i < len(cut) - 1:
-                first = rows[cut[i]]
-                if lo[first] == hi[first]:
-                    roots.append((cut[i], cut[i + 1], cut[i], cut[i + 1]))
-                elif i + 2 < len(cut) and g[cut[i + 1]] == g[cut[i]]:
-                    roots.append((cut[i], cut[i + 1], cut[i + 1], cut[i + 2]))
+def _join(made: list):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = ["layout", "head", "lo", "hi"]
+        for t in complete_groups(batches, keys):
+            starts = group_starts(t, keys)
+            layout, lo, hi, chunk = (t.column(c).to_numpy() for c in ("layout", "lo", "hi", "chunk"))
+            fp, rep = t.column("fp").to_numpy().view(np.uint64), t.column("rep").to_numpy()
+            group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+            for k in np.unique(layout).tolist():
+                rows = np.flatnonzero(layout == k)
+                other = turned(fp[rows], made[k][0])
+                order = np.lexsort((other, chunk[rows], group[rows]))
+                rows, other = rows[order], other[order]
+                g, c = group[rows], chunk[rows]
+                cut = np.concatenate(([0], np.flatnonzero((g[1:] != g[:-1]) | (c[1:] != c[:-1])) + 1, [len(rows)]))
+                roots, i = [], 0
+                while i < len(cut) - 1:
+                    first = rows[cut[i]]
+                    if lo[first] == hi[first]:
+                        roots.append((cut[i], cut[i + 1], cut[i], cut[i + 1]))
+                    elif i + 2 < len(cut) and g[cut[i + 1]] == g[cut[i]]:
+                        roots.append((cut[i], cut[i + 1], cut[i + 1], cut[i + 2]))
+                        i += 1
                     i += 1
-                i += 1
-            roots = [x for x in roots if x[1] - x[0] > 1 or x[0] != x[2]]
-            if not roots:
-                continue
-            top = trie_join(turned, roots, length, len(BLOCKS) - 1)
-            linked = np.flatnonzero(top != np.arange(len(top)))
-            if len(linked):
-                yield pa.record_batch([pa.array(rep[rows[linked]]), pa.array(rep[rows[top[linked]]])], names=["a", "b"])
+                roots = [x for x in roots if x[1] - x[0] > 1 or x[0] != x[2]]
+                if not roots:
+                    continue
+                top = trie_join(other, roots, made[k][1], BUDGET)
+                linked = np.flatnonzero(top != np.arange(len(top)))
+                if len(linked):
+                    yield pa.record_batch([pa.array(rep[rows[linked]]), pa.array(rep[rows[top[linked]]])], names=["a", "b"])
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id: a row for each row of docs."""
+    """doc_id, fingerprint (16 hex digits), component_id: a row for each row of docs.
+
+    Fingerprints are the nodes of the component search, each under its smallest doc_id; documents join their fingerprint's component after it.
+    """
     fps = ws.save(fingerprints(docs), "fingerprints")
     reps = ws.save(fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), "leaves")
-    heads = [F.struct(F.lit(i).alias("block"), F.expr(f"(shiftrightunsigned(fp, {64 - at - n}) & {(1 << n) - 1})").cast("int").alias("head")) for i, (at, n) in enumerate(BLOCKS)]
-    rows = reps.withColumn("h", F.explode(F.array(*heads))).select("h.block", "h.head", "fp", "rep")
-    links = ws.save(dealt(blocked(rows, ["block", "head"], "fp", LIMIT), ["block", "head", "lo", "hi"], _join, "a long, b long"), "links")
-    same = fps.join(reps.withColumnRenamed("fp", "_fp"), F.col("fp") == F.col("_fp"), "left").where("doc_id IS NOT NULL AND doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    parts = ws.save(connected_components(links.union(same.distinct()), ws), "components")
-    both = fps.join(parts, F.col("doc_id") == F.col("node"), "left")
-    return both.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component", "doc_id").alias("component_id"))
+    made = layouts(reps.count(), LIMIT)
+    head = lambda order, first: reduce(lambda x, y: x.bitwiseOR(y), [F.expr(f"shiftleft(shiftrightunsigned(fp, {64 - at - n}) & {(1 << n) - 1}L, {first - sum(m for _, m in order[: i + 1])})") for i, (at, n) in enumerate(order) if sum(m for _, m in order[:i]) < first])
+    heads = [F.struct(F.lit(i).alias("layout"), head(order, first).alias("head")) for i, (order, first) in enumerate(made)]
+    rows = reps.withColumn("h", F.explode(F.array(*heads))).select("h.layout", "h.head", "fp", "rep")
+    links = ws.save(dealt(blocked(rows, ["layout", "head"], "fp", LIMIT), ["layout", "head", "lo", "hi"], _join(made), "a long, b long"), "links")
+    parts = connected_components(links, ws)
+    known = reps.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component"))
+    both = fps.join(known, F.col("fp") == F.col("_fp"), "left")
+    return both.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, ws: Workspace, similarity: float | None = None) -> DataFrame:
@@ -179,7 +207,7 @@ def one_of_each(docs: DataFrame, ws: Workspace, similarity: float | None = None)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("node").alias("node")))
     kept = near.join(ids, F.col("node") == F.col(was)).groupBy("group").agg(first.alias("first")).select("first.node")
     gone = near.join(kept, "node", "left_anti").select(F.col("node").alias(was))
-    return rows.join(broadcast_if(ws.save(gone, "gone"), F.lit(16)), F.col(row) == F.col(was), "left_anti").drop(row)
+    return rows.join(gone, F.col(row) == F.col(was), "left_anti").drop(row)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,17 +101,43 @@ def test_line_dedup_odd_cases(spark):
     rows = [(i, "h", f"own {i}\n  footer \n\nfooter") for i in range(20)] + [(20 + i, None, f"no host {i}\nnav") for i in range(20)]
     rows += [(70 + i, "h", "copied page") for i in range(30)]
     rows += [(40, "h", None), (41, "h", ""), (42, "lone", "a\na"), (43, "few", "x\nfooter"), rows[0]]
-    df = spark.createDataFrame(rows, "page_id long, host string, text string").selectExpr("*", "1 AS _h", "2 AS _pages", "3 AS _key", "4 AS _keep")
-    got = drop_lines(df, Workspace(spark, "t")).collect()
+    rows += [(50 + i, "small", f"page {i}\nmenu" + "\npair" * (i < 2)) for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, host string, text string").selectExpr("*", "1 AS _h", "2 AS _pages", "3 AS _key", "4 AS _keep", "'x' AS n_lines")
+    out = drop_lines(df, Workspace(spark, "t"))
+    assert out.columns == ["page_id", "host", "text", "_h", "_pages", "_key", "_keep", "n_lines", "n_dropped"]
+    got = out.collect()
     assert len(got) == len(rows)
     by = {r.page_id: r for r in got}
     assert (by[3].text, by[3].n_lines, by[3].n_dropped) == ("own 3\n", 4, 2)
     assert by[21].text == "no host 1" and by[75].text == "copied page"
     assert (by[40].text, by[40].n_lines) == (None, 0) and by[41].text == ""
     assert by[42].text == "a\na" and by[43].text == "x\nfooter"
+    assert by[50].text == "page 0\npair" and by[53].text == "page 3"
     assert drop_lines(df.limit(0), Workspace(spark, "t")).count() == 0
 
 
+def test_line_dedup_equals_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None, f"h{i % 9}"]), "\n".join(rng.choice([f"line {rng.randrange(12)}", f" line {rng.randrange(4)}\t", "", f"own {i}"]) for _ in range(rng.randint(0, 6)))) for i in range(150)]
+    rows += rows[:20]
+    pages = {}
+    for _, h, t in rows:
+        pages.setdefault(h, set()).add(t)
+    on = {h: Counter(x for t in texts for x in {y.strip(" \t\n\x0b\x0c\r") for y in t.split("\n")} - {""}) for h, texts in pages.items()}
+    want = sorted((str(i), "\n".join(x for x in t.split("\n") if not (on[h][x.strip()] >= 3 and on[h][x.strip()] > 0.1 * len(pages[h])))) for i, h, t in rows)
+    got = drop_lines(spark.createDataFrame(rows, "page_id long, host string, text string"), Workspace(spark, "t"))
+    assert sorted((str(r.page_id), r.text) for r in got.collect()) == want
+
+
+def test_lines_of_white_space_are_read_in_time(spark):
+    import time
+
+    df = spark.createDataFrame([(1, "h", "x" + " " * 1_000_000 + "y\n" + " " * 1_000_000)], "page_id long, host string, text string")
+    began = time.monotonic()
+    assert drop_lines(df, Workspace(spark, "t")).first().n_lines == 2
+    assert time.monotonic() - began < 30
+
+
 def test_line_dedup_stage_cleans_small_sources(spark):
     rows = [(i, f"own {i}" + "\nfooter" * (i < 4) + "\ntwice" * (i < 2), "small") for i in range(8)]
     rows += [(100 + i, f"own {i}" + "\nfooter" * (i < 9) + "\nrare" * (i < 3), "middle") for i in range(40)]

@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 from tessella.llm.common import Workspace
-from tessella.llm.simhash import fingerprint, near_duplicates, one_of_each, trie_join
+from tessella.llm.simhash import fingerprint, layouts, near_duplicates, one_of_each, trie_join, turned
 
 
 def brute_fingerprint(text):
@@ -91,6 +91,32 @@ def test_hot_block_is_dealt_in_chunks(spark, monkeypatch):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("n", [10, 10**9, 10**12])
+def test_close_fingerprints_agree_in_the_first_bits_of_a_layout(n):
+    rng = random.Random(2)
+    made = layouts(n)
+    assert len(made) == {10: 5, 10**9: 15, 10**12: 70}[n]
+    for order, first in made:
+        assert sorted(b for at, k in order for b in range(at, at + k)) == list(range(64)) and first >= {10: 12, 10**9: 20, 10**12: 32}[n]
+    for _ in range(300):
+        a = rng.getrandbits(64)
+        b = a ^ sum(1 << k for k in rng.sample(range(64), 4))
+        x, y = np.array([a], np.uint64), np.array([b], np.uint64)
+        assert any(int(turned(x, o)[0]) >> (64 - f) == int(turned(y, o)[0]) >> (64 - f) for o, f in made)
+        assert int(turned(x, made[0][0])[0]) == a
+
+
+@pytest.mark.parametrize("blocks", [6, 8])
+def test_more_blocks_find_the_same(spark, monkeypatch, blocks):
+    from tessella.llm import simhash
+
+    real = simhash.layouts
+    monkeypatch.setattr(simhash, "layouts", lambda n, limit: real({6: 10**9, 8: 10**12}[blocks]))
+    rows = [(i, " ".join(f"t{k}" for k in range(120)) + f" {i % 20}") for i in range(40)]
+    got = {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), Workspace(spark, "t")).collect()}
+    assert got == brute(rows)
+
+
 @pytest.mark.parametrize("text", ["doc_id long, text string"])
 def test_empty(spark, text):
     assert near_duplicates(spark.createDataFrame([], text), Workspace(spark, "t")).count() == 0
