@@ -45,17 +45,36 @@ def test_near_vectors_equal_brute_force(spark, monkeypatch, limit):
         assert r.kept == (r.vec_id == r.component_id or r.vec_id is None)
 
 
-def test_recall_near_the_threshold():
+def recall(a, b, q, n):
+    x, y = codes(a, q), codes(b, q)
+    made = tables(n)
+    return ((buckets(x, made) == buckets(y, made)).any(1) & (np.bitwise_count((x ^ y).view(np.uint64)) <= embeddings.HAMMING)).mean()
+
+
+def pairs(a, cosine, rng):
+    noise = rng.normal(size=a.shape)
+    noise = unit(noise - (noise * a).sum(1, keepdims=True) * a)
+    return cosine * a + np.sqrt(1 - cosine**2) * noise
+
+
+@pytest.mark.parametrize("dim", [16, 64, 384, 768])
+def test_recall_near_the_threshold(dim):
     rng = np.random.default_rng(4)
-    x = unit(rng.normal(size=(4000, 64)))
-    q = quantiser(x)
-    a = unit(rng.normal(size=(4000, 64)))
+    q = quantiser(unit(rng.normal(size=(4000, dim))))
+    a = unit(rng.normal(size=(3000, dim)))
     for cosine, least in ((0.9, 0.91), (0.95, 0.97)):
-        noise = rng.normal(size=a.shape)
-        noise = unit(noise - (noise * a).sum(1, keepdims=True) * a)
-        b = cosine * a + np.sqrt(1 - cosine**2) * noise
-        assert (buckets(codes(a, q)) == buckets(codes(b, q))).any(1).mean() >= least
-    assert all(len(set(t)) == embeddings.KEY_BITS for t in tables())
+        assert recall(a, pairs(a, cosine, rng), q, 1000) >= least
+    for n in (10**7, 10**8):
+        assert recall(a, pairs(a, 0.9, rng), q, n) >= 0.9
+        assert all(len(set(t)) == n.bit_length() - 10 for t in tables(n))
+
+
+def test_recall_on_clusters():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 128)) * np.linspace(3, 0.2, 128)
+    data = unit(centres[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 128)) * 0.7)
+    q = quantiser(data[:4000])
+    assert recall(data[4000:], pairs(data[4000:], 0.9, rng), q, 1000) >= 0.9
 
 
 def test_doubles_small_and_empty(spark):
