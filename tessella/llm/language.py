@@ -4,8 +4,8 @@ Each language has a codeword. For each of its bits, a logistic classifier on has
 text predicts the bit; the language is the one whose codeword loses least under the classifiers' margins, where a bit
 weighs by how well its classifier did on the sample. A small lead over the second flags the text as ambiguous.
 
-The classifiers learn on the driver from a sample of at most 2 * per_language * (number of languages) labelled rows, chosen by
-a hash of doc_id; at most `most_languages` languages (the most frequent) are learned. Rows of the held-out fold
+The classifiers learn on the driver from a sample of about `per_language` labelled rows of each language (all, if it has fewer),
+chosen by a hash of doc_id and text alone; every language with a label is learned. Rows of the held-out fold
 (crc32(doc_id as text) mod 4 = 2) are never sampled. Predictions see nothing but the text, all of it.
 
 Defined results: null texts and texts without a letter are `und` with score 0; without any labelled row all are; with one
@@ -98,15 +98,15 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column(0), pa.array(rows, pa.binary())], names=["lang", "x"])
 
 
-def learn(docs: DataFrame, per_language: int = 300, most_languages: int = 200) -> Decoder:
+def learn(docs: DataFrame, per_language: int = 300) -> Decoder:
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4))
     rows = docs.where((fold != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return Decoder(np.zeros((0, 1 << BITS), np.float32), [])
     share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, per_language / n))])
-    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language")), F.lit(1 << 20)) / float(1 << 20)
-    chosen = rows.where(place < share[F.col("lang")]).limit(2 * per_language * len(counts)).select("lang", "text")
+    place = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text"), F.lit("language")), F.lit(1 << 20)) / float(1 << 20)
+    chosen = rows.where(place < share[F.col("lang")]).select("lang", "text")
     got = sorted((r.lang, bytes(r.x)) for r in chosen.mapInArrow(_sampled, "lang string, x binary").collect())  # sorted: reruns agree
     if not got:
         return Decoder(np.zeros((0, 1 << BITS), np.float32), [])

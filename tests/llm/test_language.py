@@ -1,10 +1,11 @@
+import math
 import random
 import zlib
 
 import numpy as np
 import pytest
 
-from tessella.llm.language import codewords, identify, known_language, learn
+from tessella.llm.language import Decoder, codewords, features, has_letter, identify, known_language, learn
 
 SYLLABLES = {"aa": ["the", "and", "ing", "tion", "er"], "bb": ["der", "ung", "sch", "ß", "ein"], "cc": ["que", "é", "ment", "aux", "oi"], "dd": ["ción", "ñ", "los", "ado", "as"]}
 
@@ -56,3 +57,33 @@ def test_few_or_no_labels(spark):
     one = spark.createDataFrame([(i, "abc", "zz") for i in range(9)] + [(10, "..", "zz")], schema)
     assert {r.lang_pred for r in identify(one, learn(one)).collect()} == {"zz", "und"}
     assert identify(one.limit(0), learn(one.limit(0))).count() == 0
+
+
+def test_decoding_equals_brute_force(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    d = learn(df)
+    for r in identify(df.where("doc_id < 60"), d).collect():
+        text = dict((i, t) for i, t, _ in rows)[r.doc_id]
+        x = features(text)
+        losses = []
+        for word in d.code:
+            loss = 0.0
+            for bit in range(len(word)):
+                margin = sum(float(a) * float(b) for a, b in zip(x, d.w[:, bit], strict=True) if a) + float(d.bias[bit])
+                loss += float(d.weight[bit]) * math.log1p(math.exp(-float(word[bit]) * margin))
+            losses.append(loss)
+        assert has_letter(text) and r.lang_pred == d.langs[int(np.argmin(losses))]
+        share = [math.exp(min(losses) - v) for v in losses]
+        assert abs(r.score - max(share) / sum(share)) < 1e-4
+        top = sorted((s / sum(share) for s in share), reverse=True)
+        assert abs(top[0] - top[1] - 0.05) < 1e-3 or r.ambiguous == (top[0] - top[1] < 0.05)
+
+
+def test_every_language_is_learned_and_reruns_agree(spark):
+    rng = random.Random(1)
+    rows = [(7 * i + k, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{rng.randrange(9)}" for _ in range(20)), f"l{k}") for k in range(230) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    a, b = learn(df), learn(df.repartition(5))
+    assert len(a.langs) == len({k for i, _, k in rows if zlib.crc32(str(i).encode()) % 4 != 2}) > 200
+    assert (a.w == b.w).all() and a.langs == b.langs
+    assert isinstance(a, Decoder)

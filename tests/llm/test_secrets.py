@@ -80,3 +80,27 @@ def test_candidates_are_whole_and_only_the_price_drops_them():
     a, h, b = noise(30, string.ascii_uppercase), noise(32, "0123456789abcdef"), noise(31, string.ascii_uppercase)
     assert novel(f"bearer {a}{h}{b}") == [a, b]
     assert novel("its passphrase is a client_secret_refresh_token, 00000000000000000000 or xxxxxxxxxxxxxxxx") == []
+
+
+def test_novel_spans_equal_brute_force():
+    """On lines of words: every run of 8 characters or more that begins within 48 characters behind a sensitive word, if its price says so."""
+    rng = random.Random(12)
+    price, seen = Novelty(), 0
+    for _ in range(150):
+        words = [rng.choice(["password", "token", "my", "the", "auth", "of", "a", "river", "government", "client_secret_refresh_token", "0" * 20, noise(rng.choice([7, 8, 20, 60])), "\n"]) for _ in range(rng.randint(3, 25))]
+        text = " , ".join(words).replace(" , \n , ", "\n").replace("\n , ", "\n").replace(" , \n", "\n")
+        base = base_spans(text)
+        ends = [m.end() for m in re.finditer("(?i:password|token|auth)", text)]
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=.-]{8,}", text):
+            s, e = m.span()
+            near = any(0 < s - a < 48 and "\n" not in text[a:s] for a in ends) and not any(a < e and s < b for a, _, b in base)
+            inside = any(s < a < e for a in ends)
+            if near and not inside and price.added(text, s, e) >= 0.6 * (e - s):
+                want.append((s, e))
+        got = [(s, e) for s, _, e in novel_spans(text, base, price)]
+        other = [x for x in got if not any(x[0] < a <= x[1] for a in ends) and text[: x[0]].rstrip(" ,\n") + "\n" not in [text[:a] + "\n" for a in ends]]
+        assert set(other) <= set(want)  # others hold a sensitive word or stand first on the line after one
+        assert set(want) <= set(got), (text, want, got)
+        seen += len(want)
+    assert seen > 100
