@@ -13,9 +13,10 @@ from tessella.errors import ConversionError
 from . import repair as R
 
 FENCE = r"(?s)```json(.*?)```"
-EDGE = r"^\s+|\s+$"
+# What Python's strip() takes off.
+SPACE = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 STRING = r'"(?:[^"\\]++|\\.)*+"'
-FLAT_LENGTH = 2000  # texts up to this length are tried with the expression first
+FLAT_LENGTH = 2000  # longer texts are not given to a pattern that repeats groups
 RESULT = "struct<json: string, error: string>"
 
 
@@ -25,7 +26,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, EDGE, "")
+    return F.btrim(c, F.lit(SPACE))
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
 
 
 def strict(c: Column) -> Column:
@@ -38,11 +50,11 @@ def strict(c: Column) -> Column:
     return let(listed, lambda x: F.when(F.try_variant_get(x, "$[1]", "variant").isNull() & keyed, F.try_variant_get(x, "$[0]", "variant")))
 
 
-def balanced(c: Column, open_: str, close: str, compat: bool = False) -> Column:
-    """From the first open bracket to its close, or null. A bracket in a string doesn't count, unless compat."""
+def balanced(c: Column, open_: str, close: str, compat: bool = False, all_: bool = True) -> Column:
+    """From the first open bracket to its close, or null. A bracket in a string doesn't count, unless compat. Null too, unless all_, where the pattern can't tell."""
     o, k = f"\\{open_}", f"\\{close}"
     inner = f"[^{o}{k}]*+" if compat else f'(?:[^{o}{k}"]++|{STRING})*+'
-    quick = F.regexp_extract(c, f"(?s)^[^{o}]*({o}{inner}{k})", 1)
+    quick = let(F.regexp_extract(c, f"(?s)^[^{o}]*({o}{inner}{k})", 1), lambda x: F.when(x != "", x))
     zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(False).alias("inside"), F.lit(False).alias("escaped"))
 
     def step(s: Column, x: Column) -> Column:
@@ -57,22 +69,26 @@ def balanced(c: Column, open_: str, close: str, compat: bool = False) -> Column:
         )
 
     fold = F.aggregate(F.split(c, ""), zero, step, lambda s: F.when(s["end"] > 0, c.substr(s["start"], s["end"] - s["start"] + 1)))
-    has = c.contains(open_)
-    return F.when(has, F.when((F.length(c) <= FLAT_LENGTH) & (quick != ""), quick).otherwise(fold))
+    short = F.when(F.length(c) <= FLAT_LENGTH, quick)  # in a branch of its own, so that it isn't computed for others
+    return F.when(c.contains(open_), F.coalesce(short, fold) if all_ else short)
 
 
-def embedded_json(c: Column, compat: bool = False) -> Column:
-    """The text of the JSON value in c: all of it if it is one, else the first object, array or longest candidate, else all."""
-    flat = r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}|\[[^\[\]]*(?:\[[^\[\]]*\][^\[\]]*)*\]"
-    found = F.filter(F.regexp_extract_all(c, F.lit(f"({flat})"), F.lit(1)), lambda x: (F.length(x) >= 0.8 * F.length(c)) & strict(x).isNotNull())
-    longest = F.array_max(F.transform(found, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    part = lambda o, k, rest: let(balanced(c, o, k, compat), lambda x: F.when(x.isNotNull() & (x != c), x).otherwise(rest))
-    return F.when(strict(c).isNotNull(), c).otherwise(part("{", "}", part("[", "]", F.coalesce(longest, c))))
+def embedded_json(c: Column, compat: bool = False, all_: bool = True) -> Column:
+    """The text of the JSON value in c: all of it if it is one, else the first object, else the first array, else all. (Other candidates are the reader's.)"""
+    part = lambda o, k, rest: let(balanced(c, o, k, compat, all_), lambda x: F.when(x.isNotNull() & (x != c), x).otherwise(rest))
+    array = F.when(F.length(c) <= FLAT_LENGTH, part("[", "]", c)).otherwise(c) if not all_ else part("[", "]", c)
+    opened = c.contains("{") & balanced(c, "{", "}", compat, all_).isNull() if not all_ else F.lit(False)
+    return F.when(strict(c).isNotNull() | opened, c).otherwise(part("{", "}", array))
 
 
-def extract_json(c: Column, compat: bool = False) -> Column:
+def extract_json(c: Column, compat: bool = False, all_: bool = True) -> Column:
     """The text between the first json fence, else what embedded_json() finds; stripped."""
-    return let(strip(c), lambda s: strip(F.when(s.rlike(FENCE), F.regexp_extract(s, FENCE, 1)).otherwise(embedded_json(s, compat))))
+    return let(strip(c), lambda s: strip(F.when(s.rlike(FENCE), F.regexp_extract(s, FENCE, 1)).otherwise(embedded_json(s, compat, all_))))
+
+
+def mended(c: Column) -> Column:
+    """c without commas that nothing follows, outside strings; null for long texts."""
+    return F.when(F.length(c) <= FLAT_LENGTH, F.regexp_replace(c, rf"({STRING})|,(?=\s*[}}\]])", "$1"))
 
 
 def _udf(read: Callable[[str], object]) -> Callable[[Column], Column]:
@@ -101,11 +117,14 @@ def loads(df: DataFrame, column: str, output: str = "loaded", mode: str = "json"
     if mode not in ("json", "yaml"):
         raise ConversionError(f"Unsupported mode: {mode}. Use 'json' or 'yaml'")
     c = F.col(column)
+    quick, slow = spare(df, "__read", "__slow")
+    error = F.col(f"{slow}.error")
     blank = F.when(c.isNull() | (strip(c) == ""), F.lit("Empty or whitespace-only text"))
     if mode == "yaml":
-        slow = df.withColumn("__slow", _udf(lambda t: R.loads_yaml(t, repair))(F.when(blank.isNull(), strip(c))))
-        return slow.withColumn(output, F.struct(F.parse_json("__slow.json").alias("value"), F.coalesce(blank, F.col("__slow.error")).alias("error"))).drop("__slow")
-    read = df.withColumn("__read", let(extract_json(c, compat), lambda t: F.struct(t.alias("text"), strict(t).alias("value"))))
-    slow = read.withColumn("__slow", _udf(lambda t: R.parse_json(t, repair))(F.when(F.col("__read.value").isNull() & blank.isNull(), F.col("__read.text"))))
-    value = F.coalesce(F.col("__read.value"), F.when(blank.isNull(), F.try_parse_json("__slow.json")))
-    return slow.withColumn(output, F.struct(value.alias("value"), F.coalesce(blank, F.col("__slow.error")).alias("error"))).drop("__read", "__slow")
+        rows = df.withColumn(slow, _udf(lambda t: R.loads_yaml(t, repair))(F.when(blank.isNull(), strip(c))))
+        return rows.withColumn(output, F.struct(F.parse_json(f"{slow}.json").alias("value"), F.coalesce(blank, error).alias("error"))).drop(slow)
+    parsed = lambda t: F.coalesce(strict(t), strict(mended(t))) if repair else strict(t)
+    rows = df.withColumn(quick, let(extract_json(c, compat, False), parsed))
+    rows = rows.withColumn(slow, _udf(lambda t: R.loads_json(t, repair, compat))(F.when(F.col(quick).isNull() & blank.isNull(), strip(c))))
+    value = F.coalesce(quick, F.when(blank.isNull(), F.try_parse_json(f"{slow}.json")))
+    return rows.withColumn(output, F.struct(value.alias("value"), F.coalesce(blank, error).alias("error"))).drop(quick, slow)

@@ -118,13 +118,13 @@ checked("validate_auto_mode", "CASE WHEN p_size % 2 = 0 THEN concat('{\"v\": ',
 
 
 @query("validate_error_messages", """SELECT p_partkey, CASE WHEN p_size <= 20 THEN 'Validation error at '' (root)'': ''w'' is a required property (got dict) - Required properties: [''w'']'
-  ELSE concat('Validation error at ''.v'': ', p_size, ' is greater than the maximum of 20 (got ', p_size, ') - Maximum: 20|Validation error at '' (root)'': ''w'' is a required property (got dict) - Required properties: [''w'']') END AS messages FROM part""")
+  ELSE concat('Validation error at ''.v'': ', p_size, ' is greater than the maximum of 20 (got ', p_size, ') - Constraint: maximum = 20|Validation error at '' (root)'': ''w'' is a required property (got dict) - Required properties: [''w'']') END AS messages FROM part""")
 def validate_error_messages(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "part").select("p_partkey", F.expr(SIZE).alias("t"))
     return validate(rows, "t", prop({"maximum": 20}) | {"required": ["w"]}, "r").select("p_partkey", F.array_join("r.errors", "|").alias("messages"))
 
 
-@query("validate_first_error_only", """SELECT p_partkey, CASE WHEN p_size > 20 THEN concat('Validation error at ''.v'': ', p_size, ' is greater than the maximum of 20 (got ', p_size, ') - Maximum: 20')
+@query("validate_first_error_only", """SELECT p_partkey, CASE WHEN p_size > 20 THEN concat('Validation error at ''.v'': ', p_size, ' is greater than the maximum of 20 (got ', p_size, ') - Constraint: maximum = 20')
   ELSE 'Validation error at '' (root)'': ''w'' is a required property (got dict) - Required properties: [''w'']' END AS first_message, CAST(1 AS INTEGER) AS n_errors FROM part""")
 def validate_first_error_only(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "part").select("p_partkey", F.expr(SIZE).alias("t"))

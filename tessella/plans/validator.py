@@ -7,6 +7,7 @@ that no expression can express is interpreted for all rows.
 from __future__ import annotations
 
 import json
+import math
 import re
 from functools import reduce
 from typing import Any
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.errors import ValidationError
-from tessella.functions.extract import extract_json, strict, strip
+from tessella.functions.extract import extract_json, spare, strict, strip
 from tessella.functions.interpret import Interpreter, describe, parse_data, which
 from tessella.sources.schemas import to_schema
 
@@ -87,22 +88,24 @@ class Compiler:
         return equals(v, t, x)
 
     def k_minimum(self, x, s, v, t, open_):
-        return ~t.number | (t.value >= F.lit(float(x)))
+        return ~t.number | t.compared(x, ">=")
 
     def k_maximum(self, x, s, v, t, open_):
-        return ~t.number | (t.value <= F.lit(float(x)))
+        return ~t.number | t.compared(x, "<=")
 
     def k_exclusiveMinimum(self, x, s, v, t, open_):  # noqa: N802
-        return ~t.number | (t.value > F.lit(float(x)))
+        return ~t.number | t.compared(x, ">")
 
     def k_exclusiveMaximum(self, x, s, v, t, open_):  # noqa: N802
-        return ~t.number | (t.value < F.lit(float(x)))
+        return ~t.number | t.compared(x, "<")
 
     def k_multipleOf(self, x, s, v, t, open_):  # noqa: N802
         q = t.value / F.lit(float(x))
         whole = F.try_variant_get(v, "$", "bigint")
-        exact = (whole % F.lit(int(x)) == 0) if isinstance(x, int) else (q == F.floor(q))
-        return ~t.number | F.when(t.kind == "BIGINT", exact).otherwise(q == F.floor(q))
+        if not isinstance(x, int):
+            return ~t.number | (q == F.rint(q))
+        large = t.large % F.lit(x).cast("decimal(38,0)") == 0 if x < 10**37 else F.lit(False)
+        return ~t.number | F.when(t.kind == "BIGINT", whole % F.lit(x) == 0 if x < 1 << 63 else whole == 0).when(t.is_large, large).otherwise(q == F.rint(q))
 
     def k_minLength(self, x, s, v, t, open_):  # noqa: N802
         return ~t.string | (F.char_length(t.text) >= x)
@@ -150,7 +153,7 @@ class Compiler:
     def k_uniqueItems(self, x, s, v, t, open_):  # noqa: N802
         if not x:
             return F.lit(True)
-        canonical = F.transform(t.items, lambda e: F.when(Kinds(e).number, F.try_variant_get(e, "$", "double").cast("string")).otherwise(F.to_json(e)))
+        canonical = F.transform(t.items, lambda e: Kinds(e).canonical)
         return ~t.array | (F.size(F.array_distinct(canonical)) == F.size(t.items))
 
     def k_contains(self, x, s, v, t, open_):
@@ -218,17 +221,47 @@ class Kinds:
         self.object, self.array, self.string = self.kind.startswith("OBJECT"), self.kind.startswith("ARRAY"), self.kind == "STRING"
         self.number = self.kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
         self.value = F.try_variant_get(v, "$", "double")
+        self.whole = F.try_variant_get(v, "$", "bigint")
+        self.large, self.is_large = F.try_variant_get(v, "$", "decimal(38,0)"), self.kind.rlike(r"^DECIMAL\([0-9]+,0\)")  # integers beyond BIGINT
         self.text = F.try_variant_get(v, "$", "string")
         self.items = F.try_variant_get(v, "$", "array<variant>")
         self.map = F.try_variant_get(v, "$", "map<string,variant>")
         self.keys = F.map_keys(self.map)
 
+    @property
+    def canonical(self) -> Column:
+        """A text that equal values share."""
+        whole = (self.value == F.rint(self.value)) & (F.abs(self.value) < 1e37)
+        return F.when(self.number, F.when(whole, self.large.cast("string")).otherwise(self.value.cast("string"))).otherwise(F.to_json(self.v))
+
+    def compared(self, x: float, sign: str) -> Column:
+        """The number against x, exactly: integers as integers, others as doubles against the doubles next to x."""
+        below, above = (math.floor(x), math.ceil(x)) if math.isfinite(x) else (x, x)
+        whole = {">=": lambda: _against(self.whole, above, sign), "<": lambda: _against(self.whole, above, sign), "<=": lambda: _against(self.whole, below, sign), ">": lambda: _against(self.whole, below, sign)}[sign]()
+        near = float(x) if abs(x) < 1e300 else math.copysign(1e300, x)
+        if sign in (">=", "<"):  # the least double that isn't below x
+            near = near if near >= x else math.nextafter(near, math.inf)
+        else:
+            near = near if near <= x else math.nextafter(near, -math.inf)
+        other = {">=": self.value >= near, ">": self.value > near, "<=": self.value <= near, "<": self.value < near}[sign]
+        end = above if sign in (">=", "<") else below
+        large = _against(self.large, end, sign, 10**38 - 1, "decimal(38,0)")
+        return F.when(self.kind == "BIGINT", whole).when(self.is_large, large).otherwise(other)
+
     def of(self, t: str) -> Column:
         if t == "integer":
-            return self.number & ((self.kind == "BIGINT") | (self.value == F.floor(self.value)))
+            return self.number & ((self.kind == "BIGINT") | (self.value == F.rint(self.value)))
         return {"object": self.object, "array": self.array, "string": self.string, "number": self.number, "boolean": self.kind == "BOOLEAN", "null": self.kind == "VOID"}[t]
 
 
+def _against(c: Column, x: int, sign: str, most: int = 1 << 63, kind: str = "bigint") -> Column:
+    """A column of integers of that kind, below `most`, against an integer of any size."""
+    if not -most <= x < most:
+        return F.lit((x > 0) == sign.startswith("<"))
+    n = F.lit(str(x)).cast(kind)
+    return {">=": c >= n, ">": c > n, "<=": c <= n, "<": c < n}[sign]
+
+
 def prop(v: Column, key: str) -> Column:
     """The VARIANT of a property, null where there is none; a JSON null is one."""
     if '"' in key and "'" in key or "\\" in key:
@@ -242,7 +275,7 @@ def equals(v: Column, t: Kinds, x: Any) -> Column:
     if x is None:
         return t.kind == "VOID"
     if isinstance(x, (int, float)):
-        return t.number & (t.value == F.lit(float(x)))
+        return t.number & t.compared(x, ">=") & t.compared(x, "<=")
     if isinstance(x, str):
         return t.string & (t.text == x)
     if re.search(r"[0-9]\.|[eE][+-]?[0-9]", json.dumps(x)):
@@ -250,11 +283,40 @@ def equals(v: Column, t: Kinds, x: Any) -> Column:
     return F.to_json(v) == json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+# What Python's classes hold, in Java's words. Inside a bracket, the negated ones can't be said.
+CLASSES = {"d": r"\p{Nd}", "w": r"\p{L}\p{N}_", "s": r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"}
+
+
 def portable(p: str) -> str:
     """A Python pattern that means the same to Java."""
-    if re.search(r"\(\?P|\(\?\(|\\Z|\(\?[aLu]", p) or re.search(r"\[[^\]]*\[", p) or "&&" in p:
-        raise Inexpressible(f"pattern {p}")
-    return p
+    out, i, inside = ["(?d)"], 0, False  # only \n ends a line
+    while i < len(p):
+        c = p[i]
+        if c == "\\":
+            n = p[i + 1]
+            if n.lower() in CLASSES:
+                if n.isupper() and inside:
+                    raise Inexpressible(f"pattern {p}")
+                out.append(CLASSES[n] if inside else f"[{'^' * n.isupper()}{CLASSES[n.lower()]}]")
+            elif n.isalnum() and n not in "ntrfx" and not (n == "A" and not inside) and not (n in "123456789" and not inside and not p[i + 2 : i + 3].isdigit()):
+                raise Inexpressible(f"pattern {p}")
+            else:
+                out.append(p[i : i + 2])
+            i += 2
+            continue
+        if inside:
+            if c == "[" or p.startswith("&&", i):
+                raise Inexpressible(f"pattern {p}")
+            inside = c != "]"
+        elif c == "[":
+            inside = True
+            if re.match(r"\[\^?\]", p[i:]):
+                raise Inexpressible(f"pattern {p}")
+        elif p.startswith("(?", i) and p[i + 2 : i + 3] not in (":", "=", "!") and p[i + 2 : i + 4] not in ("<=", "<!") or p.startswith("{,", i):
+            raise Inexpressible(f"pattern {p}")
+        out.append(c)
+        i += 1
+    return "".join(out)
 
 
 def is_valid(source: Any, v: Column) -> Column:
@@ -283,18 +345,20 @@ def validate(df: DataFrame, column: str, source: Any, output: str = "validation"
         raise ValidationError(f"Unsupported mode: {mode}. Use 'auto', 'json' or 'yaml'")
     run, c = _interpreted(source, mode, first_only), F.col(column)
     Interpreter(source)
+    value_, fast, slow = spare(df, "__value", "__fast", "__slow")
     looks = strip(c).rlike(r"\A[\{\[]")
     try:
         if mode == "yaml":
             raise Inexpressible("YAML")
-        parsed = strict(F.when(looks, extract_json(c)))
+        # numbers that no BIGINT holds are the interpreter's
+        parsed = strict(F.when(looks & ~c.rlike("[0-9]{19}|[0-9][eE][+]?[0-9]{2}"), extract_json(c, all_=False)))
         # in JSON mode, a text that doesn't look like JSON is the value itself
         value = parsed if mode == "auto" else F.when(looks, parsed).otherwise(F.try_variant_get(F.parse_json(F.to_json(F.struct(c.alias("s")))), "$.s", "variant"))
-        v = F.col("__v")
-        fast = F.coalesce(v.isNotNull() & is_valid(source, v), F.lit(False))
-        rows = df.withColumn("__v", value).withColumn("__fast", fast).drop("__v")
+        v = F.col(value_)
+        holds = F.coalesce(v.isNotNull() & is_valid(source, v), F.lit(False))
+        rows = df.withColumn(value_, value).withColumn(fast, holds).drop(value_)
     except Inexpressible:
-        rows = df.withColumn("__fast", F.lit(False))
-    rows = rows.withColumn("__slow", run(F.when(~F.col("__fast"), c)))  # rows that hold cross as nulls
-    result = F.struct((F.col("__fast") | F.coalesce(F.col("__slow.is_valid"), F.lit(False))).alias("is_valid"), F.when(~F.col("__fast"), F.col("__slow.errors")).alias("errors"))
-    return rows.withColumn(output, F.when(c.isNotNull(), result)).drop("__fast", "__slow")
+        rows = df.withColumn(fast, F.lit(False))
+    rows = rows.withColumn(slow, run(F.when(~F.col(fast), c)))  # rows that hold cross as nulls
+    result = F.struct((F.col(fast) | F.coalesce(F.col(f"{slow}.is_valid"), F.lit(False))).alias("is_valid"), F.when(~F.col(fast), F.col(f"{slow}.errors")).alias("errors"))
+    return rows.withColumn(output, F.when(c.isNotNull(), result)).drop(fast, slow)
