@@ -26,7 +26,7 @@ import hashlib
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +38,13 @@ from .common import Workspace, beside, complete_groups, dealt, group_starts, rea
 
 WINDOW = 16
 LEAST, AVERAGE, MOST = 128, 1024, 16384  # ids in a chunk; AVERAGE is a power of two
-PART = 1 << 24  # ids of a part of the recipes
+PART = 1 << 20  # ids of a part of the recipes
 STAGED = 1 << 21  # ids in a row of the table that documents are encoded to
 UNICODE_SPACE = re.compile("[" + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
 NEAR_SPACE = ("  ", " \n", "\n ", "\n\n", "\t\n", "\n\t", "\r\n", "\n\r", " \t", "\t ", " \r", "\r ", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "<|")
 
 
+SIGNS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 PIECES = re.compile(r"[^\W\d_]+|[0-9]+|[!-&(-/:-@\[-`{-~]+")  # letters, digits, ASCII signs but the apostrophe: the pre-tokenizer parts a word so
 
 
@@ -62,37 +63,38 @@ class Encoder:
         self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = "H" if self.width == 2 else "I"
-        self.known: dict[str, bytes] = {}  # a unit that begins with a newline has no space before it, any other has one
         self.encode_all = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         shown = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or c >= 174]  # byte-level alphabet: these stand for themselves
         hidden = iter(range(256, 512))
         self.letters = {c: chr(c) if c in shown else chr(next(hidden)) for c in range(256)}
-        self.space, self.bare = self.letters[32], {}  # ids of pieces without a space before them
+        self.space = self.letters[32]
         self.newline = self._ids(["\n"])[0]
+        self.known, self.bare = _Known(self._unit), _Known(self._bare)
+        self.known[None] = b""  # what stands for a first unit, which has no space before it
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.encode_all(texts, add_special_tokens=False)]
 
-    def _unit(self, unit: str) -> bytes | None:
-        """Ids of a unit that is letters, digits and signs, else None."""
+    def _piece(self, piece: str, lead: str) -> bytes:
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return array(self.kind, [t.id for t in self.model.tokenize(lead + shown)]).tobytes()
+
+    def _bare(self, piece: str) -> bytes:
+        return self._piece(piece, "")
+
+    def _unit(self, unit: str) -> bytes:
+        """Ids of a unit: one that begins with a newline has no space before it, any other has one."""
+        if unit.isalpha():
+            return self._piece(unit, self.space)
+        if unit[-1:] in SIGNS and unit[:-1].isalpha():
+            return self.known[unit[:-1]] + self.bare[unit[-1]]
         lone = unit[:1] == "\n"
         pieces = PIECES.findall(unit)
-        if not pieces or len(unit) - lone != sum(map(len, pieces)):
-            return None
-        out = [self.newline] if lone else []
-        for k, p in enumerate(pieces):
-            of = self.bare if k or lone else self.known
-            ids = of.get(p)
-            if ids is None:
-                if p.isascii():
-                    shown = p
-                elif p.isalpha():
-                    shown = p.encode().decode("latin-1").translate(self.letters)
-                else:
-                    return None
-                ids = of[p] = array(self.kind, [t.id for t in self.model.tokenize(shown if k or lone else self.space + shown)]).tobytes()
-            out.append(ids)
-        return b"".join(out)
+        if not pieces or len(unit) - lone != sum(map(len, pieces)) or not all(p.isascii() or p.isalpha() for p in pieces):
+            return self._ids([unit if lone else " " + unit])[0]
+        if lone:
+            return self.newline + b"".join(map(self.bare.__getitem__, pieces))
+        return self._piece(pieces[0], self.space) + b"".join(map(self.bare.__getitem__, pieces[1:]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian bytes of self.width."""
@@ -102,32 +104,25 @@ class Encoder:
             out[i] = ids
         rest = [i for i in range(len(texts)) if out[i] is None]
         units = [texts[i].replace("\n", " \n").split(" ") for i in rest]
-        known = self.known
-        if len(known) > self.remember:
-            known.clear()
+        if len(self.known) > self.remember:
+            self.known.clear()
             self.bare.clear()
-        firsts = [u[0] for u in units]
-        new: set[str] = set()
-        found = []
-        for u in units:
-            u[0] = ""  # a unit that is always known: the first has no space before it
-            got = list(map(known.get, u))
-            if None in got:
-                new.update(x for x, ids in zip(u, got, strict=True) if ids is None)
-            found.append(got)
-        odd = []
-        for x in new:
-            ids = self._unit(x)
-            if ids is None:
-                odd.append(x)
-            else:
-                known[x] = ids
-        known.update(zip(odd, self._ids([x if x[:1] == "\n" else " " + x for x in odd]), strict=True))
-        for i, head, u, got in zip(rest, self._ids(firsts), units, found, strict=True):
-            if None in got:
-                got = [known[x] if ids is None else ids for x, ids in zip(u, got, strict=True)]
-            got[0] = head
-            out[i] = b"".join(got)
+            self.known[None] = b""
+        of = self.known.__getitem__
+        for i, head, u in zip(rest, self._ids([u[0] for u in units]), units, strict=True):
+            u[0] = None
+            out[i] = head + b"".join(map(of, u))
+        return out
+
+
+class _Known(dict):
+    """What has been asked for before, and else what `make` makes of it."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make = make
+
+    def __missing__(self, unit: str) -> bytes:
+        out = self[unit] = self.make(unit)
         return out
 
 
@@ -255,13 +250,13 @@ def _manifest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write(docs: DataFrame, ws: Workspace, tokenizer: str, end_id: int = 2) -> dict[str, str]:
     """Writes chunks, recipes and manifest; their paths by name."""
     spark = docs.sparkSession
-    staged = ws.save(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_encoded(tokenizer, end_id), STAGE), "staged", "b")
+    staged = ws.save(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_encoded(tokenizer, end_id), STAGE), "staged", "b", "snappy")
     at = {k: ws.path(k) for k in ("chunks", "recipes", "manifest")}
     named = staged.select("b", "seq", F.posexplode(F.flatten("names")).alias("place", "name"))
     first = named.groupBy("name").agg(F.min(F.struct("b", "seq", "place")).alias("at")).select("at.*")
     own = beside(staged.select("b", "seq", F.flatten("names").alias("names"), "payloads"), first, "own", "place")
     pick = F.transform("own", lambda x: F.struct(F.get("names", x["place"]).alias("chunk"), F.get("payloads", x["place"]).alias("payload")))
-    own.select(F.explode(pick).alias("c")).select("c.*").write.option("compression", "zstd").parquet(at["chunks"])
+    own.select(F.explode(pick).alias("c")).select("c.*").write.option("compression", "snappy").parquet(at["chunks"])
     each = staged.select(F.explode(F.arrays_zip("doc_ids", "n_tokens", "roots", "names")).alias("d"))
     recipes = ws.save(each.select(F.col("d.doc_ids").alias("doc_id"), F.col("d.n_tokens").alias("n_tokens"), F.col("d.roots").alias("root"), F.col("d.names").alias("names")), "unplaced")
     ws.drop(staged)
