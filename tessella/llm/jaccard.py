@@ -1,8 +1,8 @@
 """Pairs of documents by the Jaccard similarity of their word shingles: MinHash bands, then the exact similarity.
 
 A document is the set of its hashed shingles of `words` words. ROWS minima of permuted sets make a band; documents that agree in one of the BANDS
-bands are candidates, so a pair of similarity s is missed with the probability (1 - s**ROWS)**BANDS: 1 in 9,000 at 0.8. Candidates are
-compared by their whole sets. Documents that are linked already (`group`) aren't compared, as only the components are asked for, and
+bands are candidates, so a pair of similarity s is missed with the probability (1 - s**ROWS)**BANDS: 1 in 9,000 at 0.8. The sets of such
+documents (32 bits of each hash) go to the bands' buckets and are compared there, whole; a task returns a spanning forest, never pairs. Documents that are linked already (`group`) aren't compared, as only the components are asked for, and
 documents of equal sets are one.
 
 Defined results: a document of fewer words than a shingle has one shingle, its words; a null or empty text has none and links
@@ -77,49 +77,43 @@ def _banded(words: int):
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([shingles(x.as_py() or b"", words).tobytes() for x in b.column(1)], pa.binary())], names=["node", "set"])
+            yield pa.record_batch([b.column(0), pa.array([np.unique(shingles(x.as_py() or b"", words).astype(np.uint32)).tobytes() for x in b.column(1)], pa.binary())], names=["node", "set"])
 
     return run
 
 
-def _pairs(similarity: float):
-    """Pairs of a bucket that are of different groups and whose sizes allow the similarity."""
+def _near(similarity: float):
+    """For each bucket, links that join its documents of different groups: once linked, documents are one group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = ["head", "lo", "hi"]
-        for t in complete_groups(batches, keys):
+        for t in complete_groups(batches, keys, 2048):
             starts = group_starts(t, keys)
-            lo, hi, chunk, node, group, size = (t.column(c).to_numpy() for c in ("lo", "hi", "chunk", "node", "group", "size"))
-            xs, ys, n = [], [], 0
+            lo, hi, chunk, node, group = (t.column(c).to_numpy() for c in ("lo", "hi", "chunk", "node", "group"))
+            sets = [np.frombuffer(x, np.uint32) for x in t.column("set").to_pylist()]
+            size = np.array([len(x) for x in sets], np.int64)
+            xs, ys = [], []
             for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                for i in range(a, b - 1):
-                    ok = (group[i + 1 : b] != group[i]) & (np.minimum(size[i + 1 : b], size[i]) + 1e-9 >= similarity * np.maximum(size[i + 1 : b], size[i]))
+                label = group[a:b].copy()
+                for i in range(b - a - 1):
+                    n, m = size[a + i], size[a + i + 1 : b]
+                    ok = (label[i + 1 :] != label[i]) & (np.minimum(n, m) + 1e-9 >= similarity * np.maximum(n, m))
                     if lo[a] != hi[a]:
-                        ok &= chunk[i + 1 : b] != chunk[i]
-                    y = node[i + 1 : b][ok]
-                    if len(y):
-                        xs.append(np.minimum(y, node[i]))
-                        ys.append(np.maximum(y, node[i]))
-                        n += len(y)
-                    if n > 1 << 18:
-                        yield pa.record_batch([pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))], names=["a", "b"])
-                        xs, ys, n = [], [], 0
-            if n:
-                yield pa.record_batch([pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))], names=["a", "b"])
-
-    return run
-
-
-def _near(similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kept = []
-            for i, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):
-                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(s) + len(t) - len(np.union1d(s, t))
-                if both + 1e-9 >= similarity * (len(s) + len(t) - both):
-                    kept.append(i)
-            yield pa.record_batch([b.column(0), b.column(1)], names=["a", "b"]).take(pa.array(kept, pa.int64()))
+                        ok &= chunk[a + i + 1 : b] != chunk[a + i]
+                    js = np.flatnonzero(ok) + i + 1
+                    if not len(js):
+                        continue
+                    own, others = sets[a + i], np.concatenate([sets[a + j] for j in js])
+                    hit = own[np.minimum(np.searchsorted(own, others), n - 1)] == others
+                    both = np.add.reduceat(hit, np.cumsum(size[a + js]) - size[a + js], dtype=np.int64)
+                    js = js[both + 1e-9 >= similarity * (n + size[a + js] - both)]
+                    _, first = np.unique(label[js], return_index=True)
+                    for j in js[first].tolist():  # one link for each group
+                        xs.append(node[a + i])
+                        ys.append(node[a + j])
+                        label[label == label[j]] = label[i]
+            if xs:
+                yield pa.record_batch([pa.array(np.array(xs)), pa.array(np.array(ys))], names=["a", "b"])
 
     return run
 
@@ -133,9 +127,7 @@ def similar(docs: DataFrame, groups: DataFrame, ws: Workspace, words: int = 5, s
     rows = made.drop("key").join(reps.select("node"), "node", "left_semi").join(groups, "node").select("node", "group", "size", F.explode("heads").alias("head"))
     several = rows.groupBy("head").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least <> most").select("head")
     met = ws.save(rows.join(several, "head", "left_semi"), "buckets")
-    pairs = ws.save(dealt(blocked(met, ["head"], "node", LIMIT), ["head", "lo", "hi"], _pairs(similarity), "a long, b long").distinct(), "pairs")
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = ws.save(texts.join(asked, "node", "left_semi").mapInArrow(_sets(words), "node long, set binary"), "sets")
-    left, right = (sets.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
-    near = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(_near(similarity), "a long, b long")
-    return near.union(same)
+    asked = met.select("node").distinct()
+    sets = texts.join(asked, "node", "left_semi").mapInArrow(_sets(words), "node long, set binary")
+    rows = blocked(met.select("node", "group", "head"), ["head"], "node", LIMIT).join(sets, "node")
+    return dealt(rows, ["head", "lo", "hi"], _near(similarity), "a long, b long").union(same)
