@@ -20,10 +20,20 @@ def default_tokenizer(text: str) -> int:
     return len(re.findall(PATTERN, text, re.ASCII))
 
 
-def bpe(path: str) -> Tokenizer:
-    """A tokenizer file of the tokenizers library, or a .tiktoken vocabulary."""
+# How public vocabularies part texts before they are encoded.
+SPLITS = {
+    "gpt2": r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+    "cl100k_base": r"(?i:'s|'t|'re|'ve|'m|'ll|'d)|[^\r\n\p{L}\p{N}]?\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]+[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+",
+}
+
+
+def bpe(path: str, split: str | None = None) -> Tokenizer:
+    """A tokenizer file of the tokenizers library, or a .tiktoken vocabulary with the pattern that parts texts (or its name in SPLITS).
+
+    Without one, a file named after a pattern goes by that, others by gpt2's.
+    """
     if path.endswith(".tiktoken"):
-        return _Ranks(path)
+        return _Ranks(path, SPLITS.get(split or path.rsplit("/", 1)[-1].removesuffix(".tiktoken"), split or SPLITS["gpt2"]))
     return _File(path)
 
 
@@ -41,11 +51,13 @@ class _File:
         return len(self.it.encode(text, add_special_tokens=False).ids)
 
     def __getstate__(self) -> dict:
-        return {"path": self.path, "it": None}
+        return {**self.__dict__, "it": None}
 
 
 class _Ranks(_File):
-    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    def __init__(self, path: str, split: str):
+        super().__init__(path)
+        self.split = split
 
     def __call__(self, text: str) -> int:
         if self.it is None:
@@ -57,7 +69,7 @@ class _Ranks(_File):
                 raise ImportError("Token counts with a .tiktoken vocabulary need the tiktoken library") from e
             with open(self.path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.it = tiktoken.Encoding("file", pat_str=self.SPLIT, mergeable_ranks=ranks, special_tokens={})
+            self.it = tiktoken.Encoding("file", pat_str=self.split, mergeable_ranks=ranks, special_tokens={})
         return len(self.it.encode_ordinary(text))
 
 

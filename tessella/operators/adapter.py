@@ -9,6 +9,7 @@ import typing
 from dataclasses import dataclass, field
 from typing import Any
 
+import pandas as pd
 import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,10 +17,12 @@ from pyspark.sql import types as T
 
 from tessella.errors import AdapterParseError
 from tessella.functions import repair as R
-from tessella.functions.extract import loads
+from tessella.functions.extract import loads, spare
 from tessella.functions.render import render
+from tessella.plans.validator import Kinds, any_of, equals
 
 MODES = ("json", "jsonish", "yaml")
+# The sentences of prompts, here and below.
 NOTE = "        # note: the value you produce "
 
 
@@ -101,11 +104,21 @@ def user_message(signature: Signature, mode: str = "jsonish") -> Column:
 
 
 def assistant_message(values: dict[str, Any] | Column, signature: Signature, mode: str = "jsonish", missing: str = "Not supplied for this particular example.") -> str | Column:
-    """The outputs as a model would write them: of a dict, or as an expression over a struct column."""
-    if isinstance(values, Column):
-        return F.to_json(F.struct(*[F.coalesce(values[k].cast("string"), F.lit(missing)).alias(k) for k in signature.outputs]), {"pretty": "true"})
-    filled = {k: values.get(k, missing) for k in signature.outputs}
-    return yaml.dump(filled, default_flow_style=False, allow_unicode=True).strip() if mode == "yaml" else json.dumps(filled, indent=2, ensure_ascii=False)
+    """The outputs as a model would write them: of a dict, or as a column of a struct column; null fields count as missing."""
+    names = list(signature.outputs)
+
+    def one(given: dict[str, Any]) -> str:
+        filled = {k: given.get(k, missing) for k in names}
+        return yaml.dump(filled, default_flow_style=False, allow_unicode=True).strip() if mode == "yaml" else json.dumps(filled, indent=2, ensure_ascii=False)
+
+    if not isinstance(values, Column):
+        return one(values)
+
+    @F.pandas_udf("string")
+    def run(rows: pd.Series) -> pd.Series:
+        return pd.Series([None if r is None else one(json.loads(r)) for r in rows], dtype="object")
+
+    return run(F.to_json(F.struct(*[values[k].alias(k) for k in names])))
 
 
 def spark_type(t: Any) -> T.DataType:
@@ -128,24 +141,91 @@ def spark_type(t: Any) -> T.DataType:
     return T.StringType()
 
 
-def parse_completions(df: DataFrame, column: str, signature: Signature, output: str = "fields", mode: str = "jsonish") -> DataFrame:
-    """df with the outputs as a typed struct, null where `error` (beside it) says why: no object, or not all of the fields."""
-    read = loads(df, column, "__loaded", "yaml" if mode == "yaml" else "json")
+def parse_completions(df: DataFrame, column: str, signature: Signature, output: str = "fields", mode: str = "jsonish", error: str = "error") -> DataFrame:
+    """df with the outputs as a typed struct, null where `error` (beside it) says why: no object, not all of the fields, or values that aren't of their types."""
+    if {output.lower(), error.lower()} & {c.lower() for c in df.columns}:
+        raise ValueError(f"There is a column {output} or {error} already: name others by `output` and `error`")
+    loaded, other = spare(df, "__loaded", "__json")
+    read = loads(df, column, loaded, "yaml" if mode == "yaml" else "json")
     if mode == "yaml":  # what YAML can't read may be JSON
-        read = loads(read, column, "__json").withColumn("__loaded", F.when(F.col("__loaded.error").isNull(), F.col("__loaded")).otherwise(F.col("__json"))).drop("__json")
-    v = F.col("__loaded.value")
-    lost = F.array_compact(F.array(*[F.when(F.try_variant_get(v, f'$["{k}"]', "variant").isNull(), F.lit(k)) for k in signature.outputs]))
+        read = loads(read, column, other).withColumn(loaded, F.when(F.col(f"{loaded}.error").isNull(), F.col(loaded)).otherwise(F.col(other))).drop(other)
+    v = F.col(f"{loaded}.value")
+    parts = {k: F.try_variant_get(v, f'$["{k}"]', "variant") for k in signature.outputs}
+    named = lambda tests: F.array_join(F.array_compact(F.array(*[F.when(t, F.lit(k)) for k, t in tests.items()])), ", ")
     kind = F.schema_of_variant(v).startswith("OBJECT")
-    problem = F.coalesce(F.col("__loaded.error"), F.when(~F.coalesce(kind, F.lit(False)), F.lit("The completion holds no object")), F.when(F.size(lost) > 0, F.concat(F.lit("Missing fields: "), F.array_join(lost, ", "))))
-    fields = F.struct(*[_typed(F.try_variant_get(v, f'$["{k}"]', "variant"), spark_type(t)).alias(k) for k, t in signature.outputs.items()])
-    out = read.withColumn("error", problem)
-    return out.withColumn(output, F.when(F.col("error").isNull(), fields)).drop("__loaded")
+    lost = named({k: x.isNull() for k, x in parts.items()})
+    if all(map(_simple, signature.outputs.values())):
+        fields = F.struct(*[F.try_variant_get(parts[k], "$", spark_type(t).simpleString()).alias(k) for k, t in signature.outputs.items()])
+        wrong = named({k: ~F.coalesce(_fits(parts[k], t), F.lit(False)) for k, t in signature.outputs.items()})
+    else:  # models and containers are checked as single completions are
+        cast = _cast_udf(signature)(F.to_json(v))
+        fields = F.from_json(cast["json"], T.StructType([T.StructField(k, spark_type(t)) for k, t in signature.outputs.items()]))
+        wrong = F.coalesce(cast["wrong"], F.lit(""))
+    problem = F.coalesce(F.col(f"{loaded}.error"), F.when(~F.coalesce(kind, F.lit(False)), F.lit("The completion holds no object")), F.when(lost != "", F.concat(F.lit("Missing fields: "), lost)), F.when(wrong != "", F.concat(F.lit("Invalid fields: "), wrong)))
+    out = read.withColumn(error, problem)
+    return out.withColumn(output, F.when(F.col(error).isNull(), fields)).drop(loaded)
+
+
+def _simple(t: Any) -> bool:
+    if typing.get_origin(t) in (typing.Union, types.UnionType):
+        return all(a is type(None) or _simple(a) for a in typing.get_args(t))
+    return t in (bool, int, float, str) or bool(_choices(t)) and all(type(x) is str for x in _choices(t))
+
+
+def _choices(t: Any) -> list:
+    """The values of an Enum or a Literal."""
+    if isinstance(t, type) and issubclass(t, enum.Enum):
+        return [e.value for e in t]
+    return list(typing.get_args(t)) if typing.get_origin(t) is typing.Literal else []
 
 
-def _typed(v: Column, t: T.DataType) -> Column:
-    if isinstance(t, (T.StructType, T.ArrayType, T.MapType)):
-        return F.from_json(F.to_json(v), t)
-    return F.try_variant_get(v, "$", t.simpleString())
+def _fits(v: Column, t: Any) -> Column:
+    """Whether a VARIANT is a value of a simple type, or a text or number that stands for one."""
+    k = Kinds(v)
+    if typing.get_origin(t) in (typing.Union, types.UnionType):
+        return any_of([k.of("null") if a is type(None) else _fits(v, a) for a in typing.get_args(t)])
+    if t is str:
+        return k.string
+    if t is bool:
+        return k.of("boolean") | k.of("integer") & k.value.isin(0.0, 1.0) | k.string & F.lower(k.text).isin("0", "off", "f", "false", "n", "no", "1", "on", "t", "true", "y", "yes")
+    if t is int:
+        return k.of("integer") | k.of("boolean") | k.string & F.trim(k.text).rlike(r"^[+-]?[0-9]+(\.0+)?$")
+    if t is float:
+        return k.number | k.of("boolean") | k.string & F.trim(k.text).try_cast("double").isNotNull()
+    return any_of([equals(v, k, x) for x in _choices(t)])
+
+
+def _cast(got: dict[str, Any], signature: Signature) -> tuple[dict[str, Any], list[str]]:
+    """The outputs as values of their types, and the names of those that aren't."""
+    from pydantic import TypeAdapter, ValidationError
+
+    out, wrong = {}, []
+    for k, t in signature.outputs.items():
+        try:
+            out[k] = TypeAdapter(t).validate_python(got[k])
+        except ValidationError:
+            wrong.append(k)
+    return out, wrong
+
+
+def _cast_udf(signature: Signature):
+    @F.pandas_udf("json string, wrong string")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        from pydantic import TypeAdapter
+
+        made, wrongs = [], []
+        for t in texts:
+            got = json.loads(t) if t is not None else None
+            if not isinstance(got, dict) or any(k not in got for k in signature.outputs):
+                made.append(None)
+                wrongs.append(None)
+                continue
+            out, wrong = _cast(got, signature)
+            made.append(None if wrong else json.dumps({k: TypeAdapter(t).dump_python(out[k], mode="json") for k, t in signature.outputs.items()}))
+            wrongs.append(", ".join(wrong))
+        return pd.DataFrame({"json": pd.Series(made, dtype="object"), "wrong": pd.Series(wrongs, dtype="object")})
+
+    return run
 
 
 def parse_completion(text: str, signature: Signature, mode: str = "jsonish") -> dict[str, Any]:
@@ -164,9 +244,7 @@ def parse_completion(text: str, signature: Signature, mode: str = "jsonish") ->
     lost = [k for k in signature.outputs if k not in got]
     if lost:
         raise AdapterParseError(f"Missing fields: {', '.join(lost)}")
-    from pydantic import TypeAdapter, ValidationError
-
-    try:
-        return {k: TypeAdapter(t).validate_python(got[k]) for k, t in signature.outputs.items()}
-    except ValidationError as e:
-        raise AdapterParseError(str(e)) from e
+    out, wrong = _cast(got, signature)
+    if wrong:
+        raise AdapterParseError(f"Invalid fields: {', '.join(wrong)}")
+    return out

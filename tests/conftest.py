@@ -6,7 +6,7 @@ import pytest
 
 REPO = str(Path(__file__).resolve().parent.parent)
 sys.path.insert(0, REPO)
-os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, (REPO, os.environ.get("PYTHONPATH"))))  # for the workers
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, (REPO, f"{REPO}/tests", os.environ.get("PYTHONPATH"))))  # for the workers, which need the modules of a signature's types
 
 
 @pytest.fixture(scope="session")

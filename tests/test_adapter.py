@@ -7,8 +7,9 @@ from pydantic import BaseModel
 from pyspark.sql import functions as F
 
 from tessella.errors import AdapterParseError
+from tessella.functions.render import Rendering
 from tessella.functions.sql import register
-from tessella.functions.tokens import bpe, compare_tokens, default_tokenizer, token_count
+from tessella.functions.tokens import SPLITS, bpe, compare_tokens, default_tokenizer, token_count
 from tessella.operators.adapter import Signature, assistant_message, field_note, parse_completion, parse_completions, requirement, structure, user_message
 from tessella.operators.schemas import catalog_fields, compare_catalog, render_catalog
 from tessella.sources.schemas import catalog
@@ -64,6 +65,40 @@ def test_completion_columns(spark):
     assert p.p.startswith("[[ ## question ## ]]\nwhy?\n\nRespond with a JSON object") and json.loads(p.a)["mood"] == "v"
 
 
+class Level(Enum):
+    low = 1
+    high = 2
+
+
+@pytest.mark.parametrize("outputs", [{"key": int, "kind": Literal["a", "b"]}, {"ratio": float, "on": bool}, {"level": Level, "note": Optional[str]}, {"item": Item, "key": int}, {"all": list[int], "by": dict[str, float]}])
+def test_columns_cast_as_single_calls_do(spark, outputs):
+    values = ["abc", "a", "12", "1.5", "yes", "", 0, 1, 2, 2.0, 2.5, True, None, [1, "2"], ["x"], {"a": 1}, {"name": "n"}, {"name": 3}, {"name": "n", "tags": ["t"], "size": "4"}]
+    rows = [json.dumps(dict(zip(outputs, pair, strict=True))) for i, x in enumerate(values) for pair in ((x, values[(i * 7 + 1) % len(values)]), (x, 1), (x, "a"), (x, None), (x, {"a": "1.5"}))]
+    sign = Signature({}, outputs)
+    got = parse_completions(spark.createDataFrame([(t,) for t in rows], "t string"), "t", sign).collect()
+    for r in got:
+        try:
+            parse_completion(r.t, sign)
+        except AdapterParseError as e:
+            assert (r.error, r.fields) == (str(e), None), r.t
+        else:
+            assert r.error is None and r.fields is not None, (r.t, r.error)
+    assert 0 < sum(r.error is None for r in got) < len(got)
+    with pytest.raises(ValueError):
+        parse_completions(spark.createDataFrame([("{}", 1)], "t string, error int"), "t", sign)
+
+
+def test_renderings_and_messages(spark):
+    r = Rendering(Item, "yaml")
+    assert str(r) == r.to_string() and "name" in str(r) and repr(r) == "Rendering(format='yaml')"
+    assert r.token_count() == default_tokenizer(str(r)) and r.compare_tokens()["simplified_tokens"] == r.token_count()
+    s = Signature({}, {"a": int, "b": str, "c": list[float], "d": bool})
+    df = spark.createDataFrame([(1, "x: y", [0.5], True), (2, None, [], False)], "a long, b string, c array<double>, d boolean")
+    for mode in ("jsonish", "yaml"):
+        made = [x.m for x in df.select(assistant_message(F.struct("a", "b", "c", "d"), s, mode).alias("m")).collect()]
+        assert made == [assistant_message({"a": 1, "b": "x: y", "c": [0.5], "d": True}, s, mode), assistant_message({"a": 2, "c": [], "d": False}, s, mode)]
+
+
 def test_tokens(spark, tmp_path):
     texts = ["", "two words", "a-b  12 é\n", "{'k': 1}"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(token_count(F.col("t"))).collect()]
@@ -75,6 +110,7 @@ def test_tokens(spark, tmp_path):
     import public_tokenizers
 
     assert bpe(public_tokenizers.path("byte_bpe_50k.json"))("two words") == bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"))("two words") == 2
+    assert bpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), "cl100k_base")("12345") != bpe("x/cl100k_base.tiktoken").split == SPLITS["cl100k_base"]
 
 
 def test_catalog_and_sql(spark):
