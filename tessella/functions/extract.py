@@ -127,4 +127,4 @@ def loads(df: DataFrame, column: str, output: str = "loaded", mode: str = "json"
     rows = df.withColumn(quick, let(extract_json(c, compat, False), parsed))
     rows = rows.withColumn(slow, _udf(lambda t: R.loads_json(t, repair, compat))(F.when(F.col(quick).isNull() & blank.isNull(), strip(c))))
     value = F.coalesce(quick, F.when(blank.isNull(), F.try_parse_json(f"{slow}.json")))
-    return rows.withColumn(output, F.struct(value.alias("value"), F.coalesce(blank, error).alias("error"))).drop(quick, slow)
+    return rows.withColumn(output, F.struct(value.alias("value"), F.coalesce(blank, F.when(F.col(quick).isNull(), error)).alias("error"))).drop(quick, slow)

@@ -6,7 +6,7 @@ Texts are put together by concat of columns, alike in both engines.
 from __future__ import annotations
 
 from collections.abc import Callable
-from typing import Any
+from typing import Any, Literal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,16 +14,17 @@ from pyspark.sql import functions as F
 from tessella.functions.extract import loads
 from tessella.functions.sql import register
 from tessella.functions.tokens import PATTERN, comparison
-from tessella.operators.adapter import Signature, parse_completions, user_message
-from tessella.operators.schemas import catalog_fields, render_catalog
+from tessella.operators.adapter import Signature, assistant_message, parse_completions, user_message
+from tessella.operators.schemas import catalog_fields, compare_catalog, render_catalog
+from tessella.plans import features
 from tessella.plans.validator import validate
 from tessella.sources.schemas import catalog, struct_schema
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 EVENT = {"type": "object", "properties": {"k": {"type": "integer", "minimum": 0, "maximum": 49}}, "required": ["k"]}
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(features.QUERIES)
+SQL: dict[str, str] = dict(features.SQL)
 
 
 def query(name: str, sql: str | None = None) -> Callable:
@@ -73,6 +74,9 @@ NATION_SQL = "n_name AS name, n_regionkey AS region"
 PLAIN = "concat('name: ', n_name, chr(10), 'region: ', n_regionkey)"
 loaded("loads_yaml_plain", PLAIN, NATION, NATION_SQL, "nation", "n_nationkey", "yaml")
 loaded("loads_yaml_fenced", f"concat('So:', chr(10), '```yaml', chr(10), {PLAIN}, chr(10), '```')", NATION, NATION_SQL, "nation", "n_nationkey", "yaml")
+loaded("loads_longest_candidate", "concat('{ ', props)", K, K_SQL)
+loaded("loads_yaml_repair", f"concat('```yaml', chr(10), 'note [', chr(10), {PLAIN}, chr(10), '```')", NATION, NATION_SQL, "nation", "n_nationkey", "yaml")
+loaded("loads_yaml_indent", "concat('```yml', chr(10), '   name: ', n_name, chr(10), '   region: ', n_regionkey, chr(10), '  note [', chr(10), '```')", NATION, NATION_SQL, "nation", "n_nationkey", "yaml")
 loaded("loads_yaml_prose", f"concat('Here is the config:', chr(10), {PLAIN}, chr(10), 'That is all.')", NATION, NATION_SQL, "nation", "n_nationkey", "yaml")
 
 
@@ -113,6 +117,20 @@ checked("validate_allof_not", SIZE, prop({"allOf": [{"minimum": 10}, {"not": {"m
 checked("validate_if_then_else", "concat('{\"v\": ', p_size, ', \"w\": ', p_size % 7, '}')", {"if": {"properties": {"v": {"maximum": 25}}}, "then": {"properties": {"w": {"maximum": 3}}}, "else": {"properties": {"w": {"minimum": 3}}}}, "CASE WHEN p_size <= 25 THEN p_size % 7 <= 3 ELSE p_size % 7 >= 3 END")
 checked("validate_recursive_ref", "concat('{\"n\": {\"n\": {\"v\": ', p_size, '}}}')", {"$ref": "#/$defs/t", "$defs": {"t": {"properties": {"n": {"$ref": "#/$defs/t"}, "v": {"maximum": 20}}}}}, "p_size <= 20")
 checked("validate_unevaluated", "concat('{\"a\": 1, \"b', p_size % 2, '\": 2}')", {"allOf": [{"properties": {"a": {}, "b0": {}}}], "unevaluatedProperties": False}, "p_size % 2 = 0")
+checked("validate_min_properties", "concat('{\"a\": 1', CASE WHEN p_size % 2 = 0 THEN ', \"b\": 2' ELSE '' END, '}')", {"minProperties": 2}, "p_size % 2 = 0")
+checked("validate_max_properties", "concat('{\"a\": 1', CASE WHEN p_size % 2 = 0 THEN ', \"b\": 2' ELSE '' END, '}')", {"maxProperties": 1}, "p_size % 2 = 1")
+checked("validate_dependent_schemas", "concat('{\"v\": ', p_size, CASE WHEN p_size % 2 = 0 THEN ', \"card\": 1' ELSE '' END, '}')", {"dependentSchemas": {"card": {"properties": {"v": {"maximum": 20}}}}}, "p_size % 2 = 1 OR p_size <= 20")
+checked("validate_unevaluated_items", "concat('[1, ', CASE WHEN p_size % 2 = 0 THEN '\"x\"' ELSE '2' END, ']')", {"prefixItems": [True], "unevaluatedItems": {"type": "integer"}}, "p_size % 2 = 1")
+checked("validate_format_ipv4", "concat('{\"v\": \"10.0.', p_size * 6, '.1\"}')", prop({"format": "ipv4"}), "p_size * 6 <= 255")
+checked("validate_format_ipv6", "concat('{\"v\": \"fe80::', CASE WHEN p_size % 2 = 0 THEN 'g' ELSE 'a' END, '\"}')", prop({"format": "ipv6"}), "p_size % 2 = 1")
+checked("validate_format_date", "concat('{\"v\": \"2023-02-', lpad(CAST(p_size AS STRING), 2, '0'), '\"}')", prop({"format": "date"}), "p_size <= 28")
+checked("validate_format_time", "concat('{\"v\": \"', lpad(CAST(p_size AS STRING), 2, '0'), ':00:00\"}')", prop({"format": "time"}), "p_size < 24")
+checked("validate_format_uuid", "concat('{\"v\": \"12345678-1234-1234-1234-1234567890', lpad(CAST(p_size AS STRING), CASE WHEN p_size % 2 = 0 THEN 2 ELSE 3 END, '0'), '\"}')", prop({"format": "uuid"}), "p_size % 2 = 0")
+checked("validate_format_regex", "concat('{\"v\": \"a', CASE WHEN p_size % 2 = 0 THEN '(' ELSE '+' END, '\"}')", prop({"format": "regex"}), "p_size % 2 = 1")
+checked("validate_large_numbers", "concat('{\"v\": ', CAST(9007199254740992 + p_size % 3 AS STRING), '}')", prop({"maximum": 9007199254740993}), "p_size % 3 <= 1")
+checked("validate_pattern_unicode", "concat('{\"v\": \"', CASE WHEN p_size % 2 = 0 THEN chr(233) ELSE 'x y' END, '\"}')", prop({"pattern": r"^\w+$"}), "p_size % 2 = 0")
+checked("validate_anchor", "concat('{\"v\": ', p_size, '}')", {"properties": {"v": {"$ref": "#few"}}, "$defs": {"x": {"$anchor": "few", "maximum": 20}}}, "p_size <= 20")
+checked("validate_text_in_json_mode", "CASE WHEN p_size % 2 = 0 THEN p_brand ELSE concat('{\"v\": ', p_size, '}') END", {"type": "string"}, "p_size % 2 = 0", mode="json")
 checked("validate_yaml", "concat('v: ', p_size)", prop({"maximum": 20}), "p_size <= 20", mode="yaml")
 checked("validate_auto_mode", "CASE WHEN p_size % 2 = 0 THEN concat('{\"v\": ', p_size, '}') ELSE concat('v: ', p_size) END", prop({"maximum": 20}), "p_size <= 20")
 
@@ -184,6 +202,42 @@ def adapter_parse_completion(spark: SparkSession, d: str) -> DataFrame:
     return parse_completions(rows, "t", ORDER).select("o_orderkey", "fields.key", "fields.status", "error")
 
 
+@query("adapter_invalid_cast", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey END AS key, CASE WHEN o_orderkey % 3 <> 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'open' ELSE 'done' END END AS kind,
+  CASE WHEN o_orderkey % 3 = 0 THEN CASE WHEN o_orderkey % 6 = 0 THEN 'Invalid fields: key' ELSE 'Invalid fields: key, kind' END END AS error FROM orders""")
+def adapter_invalid_cast(spark: SparkSession, d: str) -> DataFrame:
+    text = "concat('{\"key\": ', CASE WHEN o_orderkey % 3 = 0 THEN '\"abc\"' ELSE CAST(o_orderkey AS STRING) END, ', \"kind\": \"', CASE WHEN o_orderkey % 2 = 0 THEN 'open' WHEN o_orderkey % 3 = 0 THEN 'lost' ELSE 'done' END, '\"}')"
+    rows = table(spark, d, "orders").select("o_orderkey", F.expr(text).alias("t"))
+    return parse_completions(rows, "t", Signature({}, {"key": int, "kind": Literal["open", "done"]})).select("o_orderkey", "fields.key", "fields.kind", "error")
+
+
+@query("adapter_yaml_completion", "SELECT n_nationkey, n_name AS name, n_regionkey AS region, CAST(NULL AS VARCHAR) AS error FROM nation")
+def adapter_yaml_completion(spark: SparkSession, d: str) -> DataFrame:
+    text = f"CASE WHEN n_nationkey % 2 = 0 THEN {PLAIN} ELSE concat('{{\"name\": \"', n_name, '\", \"region\": ', n_regionkey, ',}}') END"
+    rows = table(spark, d, "nation").select("n_nationkey", F.expr(text).alias("t"))
+    return parse_completions(rows, "t", Signature({}, {"name": str, "region": int}), mode="yaml").select("n_nationkey", "fields.name", F.col("fields.region").cast("int").alias("region"), "error")
+
+
+@query("adapter_assistant_message", """SELECT n_nationkey, concat('{', chr(10), '  "name": "', n_name, '",', chr(10), '  "region": ', n_regionkey, chr(10), '}') AS jsonish, concat('name: ', n_name, chr(10), 'region: ', n_regionkey) AS yaml FROM nation""")
+def adapter_assistant_message(spark: SparkSession, d: str) -> DataFrame:
+    values, sign = F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")), Signature({}, {"name": str, "region": int})
+    return table(spark, d, "nation").select("n_nationkey", *[assistant_message(values, sign, m).alias(m) for m in ("jsonish", "yaml")])
+
+
+@query("token_reduction")
+def token_reduction(spark: SparkSession, d: str) -> DataFrame:
+    """What each rendering of the tables' schemas saves over their JSON text."""
+    schemas = tables_catalog(spark, d)
+    each = [compare_catalog(schemas, f).select("table_name", F.lit(f).alias("format"), "tokens.*") for f in ("jsonish", "typescript", "yaml")]
+    return each[0].union(each[1]).union(each[2])
+
+
+@query("sql_loads_yaml", """SELECT n_nationkey, concat('{"name": "', n_name, '"}') AS loaded FROM nation""")
+def sql_loads_yaml(spark: SparkSession, d: str) -> DataFrame:
+    register(spark)
+    table(spark, d, "nation").createOrReplaceTempView("tessella_nation")
+    return spark.sql("SELECT n_nationkey, loads_yaml(concat('name: ', n_name)) AS loaded FROM tessella_nation")
+
+
 @query("sql_functions", """SELECT n_nationkey, concat('{"name": "', n_name, '"}') AS loaded, n_regionkey < 3 AS is_valid, CAST(len(regexp_extract_all(n_name, ' ?[A-Za-z]+| ?[0-9]+| ?[^\\sA-Za-z0-9]+|\\s+')) AS BIGINT) AS tokens FROM nation""")
 def sql_functions(spark: SparkSession, d: str) -> DataFrame:
     register(spark)
