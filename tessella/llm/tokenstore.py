@@ -40,8 +40,8 @@ WINDOW = 16
 LEAST, AVERAGE, MOST = 128, 1024, 16384  # ids in a chunk; AVERAGE is a power of two
 PART = 1 << 20  # ids of a part of the recipes
 STAGED = 1 << 21  # ids in a row of the table that documents are encoded to
-UNICODE_SPACE = re.compile("[" + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]")
-NEAR_SPACE = ("  ", " \n", "\n ", "\n\n", "\t\n", "\n\t", "\r\n", "\n\r", " \t", "\t ", " \r", "\r ", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "<|")
+UNICODE_SPACE = "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+ODD = re.compile(rf"\A\n?\Z|\A\n?[\t\r]|[\t\r]\Z|[\x0b\x0c\x1c-\x1f{UNICODE_SPACE}]|<\|")  # units where white space meets white space, or may
 
 
 SIGNS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
@@ -53,7 +53,8 @@ class Encoder:
 
     Its pre-tokenizer always parts at a space or newline that stands alone, so what it makes of the units between them is what it makes
     of the whole; a unit of letters, digits and signs goes to the library's model piece by piece. Texts where white space
-    meets white space, or with `<|`, are encoded whole.
+    meets white space, or with `<|`, are encoded whole; a unit tells when it is first met. The memory has two generations of
+    `remember` units: what is asked for again outlives the older one.
     """
 
     def __init__(self, path: str, remember: int = 600_000):
@@ -68,9 +69,9 @@ class Encoder:
         hidden = iter(range(256, 512))
         self.letters = {c: chr(c) if c in shown else chr(next(hidden)) for c in range(256)}
         self.space = self.letters[32]
-        self.newline = self._ids(["\n"])[0]
+        self.newline, lone_space = self._ids(["\n", " "])
+        self.ends = {None: b"", "": lone_space, "\n": self.newline}
         self.known, self.bare = _Known(self._unit), _Known(self._bare)
-        self.known[None] = b""  # what stands for a first unit, which has no space before it
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.encode_all(texts, add_special_tokens=False)]
@@ -88,6 +89,8 @@ class Encoder:
             return self._piece(unit, self.space)
         if unit[-1:] in SIGNS and unit[:-1].isalpha():
             return self.known[unit[:-1]] + self.bare[unit[-1]]
+        if ODD.search(unit):
+            raise _Odd
         lone = unit[:1] == "\n"
         pieces = PIECES.findall(unit)
         if not pieces or len(unit) - lone != sum(map(len, pieces)) or not all(p.isascii() or p.isalpha() for p in pieces):
@@ -98,33 +101,50 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian bytes of self.width."""
-        out: list = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if any(x in t for x in NEAR_SPACE) or not t.isascii() and UNICODE_SPACE.search(t)]
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        rest = [i for i in range(len(texts)) if out[i] is None]
-        units = [texts[i].replace("\n", " \n").split(" ") for i in rest]
-        if len(self.known) > self.remember:
-            self.known.clear()
-            self.bare.clear()
-            self.known[None] = b""
+        for known in (self.known, self.bare):
+            if len(known) > self.remember:
+                known.age()
+        self.known[None] = b""  # stands for a first unit, which has no space before it
+        units = [t.replace("\n", " \n").split(" ") for t in texts]
+        odd = [bool("  " in t or "\n\n" in t or u[0] and ODD.search(u[0])) for t, u in zip(texts, units, strict=True)]
+        out = self._ids(["" if o else u[0] for u, o in zip(units, odd, strict=True)])
         of = self.known.__getitem__
-        for i, head, u in zip(rest, self._ids([u[0] for u in units]), units, strict=True):
+        for i, u in enumerate(units):
+            if odd[i]:
+                continue
+            end = u.pop() if len(u) > 1 and u[-1] in ("", "\n") else None  # alone at the end, no white space follows
             u[0] = None
-            out[i] = head + b"".join(map(of, u))
+            try:
+                out[i] += b"".join(map(of, u)) + self.ends[end]
+            except _Odd:
+                odd[i] = True
+        whole = [i for i, o in enumerate(odd) if o]
+        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
+            out[i] = ids
         return out
 
 
+class _Odd(Exception):
+    """A unit whose ids depend on what stands beside it."""
+
+
 class _Known(dict):
     """What has been asked for before, and else what `make` makes of it."""
 
     def __init__(self, make: Callable[[str], bytes]):
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, unit: str) -> bytes:
-        out = self[unit] = self.make(unit)
+        out = self.older.get(unit)
+        if out is None:
+            out = self.make(unit)
+        self[unit] = out
         return out
 
+    def age(self) -> None:
+        self.older = dict(self)
+        self.clear()
+
 
 @functools.cache
 def encoder(path: str) -> Encoder:
