@@ -25,7 +25,6 @@ import functools
 import hashlib
 import re
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -57,13 +56,13 @@ class Encoder:
     `remember` units: what is asked for again outlives the older one.
     """
 
-    def __init__(self, path: str, remember: int = 600_000):
+    def __init__(self, path: str, remember: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remember = Tokenizer.from_file(path), remember
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.kind = "H" if self.width == 2 else "I"
+        self.packed = [i.to_bytes(self.width, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.encode_all = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         shown = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or c >= 174]  # byte-level alphabet: these stand for themselves
         hidden = iter(range(256, 512))
@@ -78,7 +77,8 @@ class Encoder:
 
     def _piece(self, piece: str, lead: str) -> bytes:
         shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-        return array(self.kind, [t.id for t in self.model.tokenize(lead + shown)]).tobytes()
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.tokenize(lead + shown)])
 
     def _bare(self, piece: str) -> bytes:
         return self._piece(piece, "")
@@ -88,7 +88,8 @@ class Encoder:
         if unit.isalpha():
             return self._piece(unit, self.space)
         if unit[-1:] in SIGNS and unit[:-1].isalpha():
-            return self.known[unit[:-1]] + self.bare[unit[-1]]
+            word = unit[:-1]  # isn't remembered by itself: a rare word is met once
+            return (self.known.get(word) or self.known.older.get(word) or self._piece(word, self.space)) + self.bare[unit[-1]]
         if ODD.search(unit):
             raise _Odd
         lone = unit[:1] == "\n"
