@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import pickle
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -56,7 +57,7 @@ class Encoder:
     `remember` units: what is asked for again outlives the older one.
     """
 
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str, remember: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remember = Tokenizer.from_file(path), remember
@@ -124,6 +125,16 @@ class Encoder:
             out[i] = ids
         return out
 
+    def rest(self) -> None:
+        """Between tasks a worker keeps what was asked for in two generations, as copies that lie together: so idle workers give memory back."""
+        kept = [pickle.dumps({u: x for u, x in k.items() if u in k.older} if k.older else dict(k)) for k in (self.known, self.bare)]
+        for k in (self.known, self.bare):
+            k.clear()
+            k.older = {}
+        for k, x in zip((self.known, self.bare), kept, strict=True):
+            k.older = pickle.loads(x)
+        pa.default_memory_pool().release_unused()
+
 
 class _Odd(Exception):
     """A unit whose ids depend on what stands beside it."""
@@ -229,6 +240,7 @@ def _encoded(path: str, end_id: int):
                     yield out()
         if held[0]:
             yield out()
+        bpe.rest()
 
     return run
 
