@@ -27,12 +27,15 @@ def want(rows):
 
 def test_encoder_equals_the_library():
     rng = random.Random(2)
-    alphabet = ["a", "Bc", "é", "1", "'s", " ", "  ", "\n", "\t", ".", "!?", " ", "_", "日", " x", "...", "ª", "²", "word", "don't", "(a)", "é,", "ß."]
+    alphabet = ["a", "Bc", "é", "1", "'s", " ", "  ", "\n", "\t", ".", "!?", " ", "_", "日", " x", "...", "ª", "²", "word", "don't", "(a)", "é,", "ß.", "<|", "\x0b", "\r", " \n", "\u3000"]
     texts = [t or "" for t in TEXTS] + ["".join(rng.choices(alphabet, k=rng.randint(1, 30))) for _ in range(3000)]
     t, e = Tokenizer.from_file(PATH), Encoder(PATH, remember=50)
     for k in range(0, len(texts), 97):
         part = texts[k : k + 97]
         assert [np.frombuffer(x, "<u2").tolist() for x in e.encode(part)] == [t.encode(x, add_special_tokens=False).ids for x in part]
+        if k % 5 == 0:
+            e.rest()
+    assert len(e.known) + len(e.known.older) < len(texts)
 
 
 def test_cuts_follow_content():
