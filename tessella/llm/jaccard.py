@@ -3,7 +3,7 @@
 A document is the set of its hashed shingles of `words` words. ROWS minima of permuted sets make a band; documents that agree in one of the BANDS
 bands are candidates, so a pair of similarity s is missed with the probability (1 - s**ROWS)**BANDS: 1 in 9,000 at 0.8. The sets of such
 documents (32 bits of each hash) go to the bands' buckets and are compared there, whole; a task returns a spanning forest, never pairs. Documents that are linked already (`group`) aren't compared, as only the components are asked for, and
-documents of equal sets are one.
+documents of equal sets are one, as are buckets of the same documents. Texts stay in the tasks that they are read in: what is asked about them goes there.
 
 Defined results: a document of fewer words than a shingle has one shingle, its words; a null or empty text has none and links
 with nothing; words compare without A-Z's case; an empty table gives no links.
@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, blocked, complete_groups, dealt, group_starts
+from .common import Workspace, among, blocked, complete_groups, dealt, group_starts
 
 BANDS, ROWS = 30, 6
 LIMIT = 2048  # documents of a band's bucket in one task; more are dealt in pairs of chunks
@@ -118,16 +118,23 @@ def _near(similarity: float):
     return run
 
 
+def different(met: DataFrame) -> DataFrame:
+    """met (node, head, ..) without the buckets that have the same documents as another: near copies meet in most bands, and comparing them once is enough."""
+    of = met.groupBy("head").agg(F.count("*").alias("n"), *[F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"x{i}") for i in range(2)])
+    return met.join(of.groupBy("n", "x0", "x1").agg(F.min("head").alias("head")).select("head"), "head", "left_semi")
+
+
 def similar(docs: DataFrame, groups: DataFrame, ws: Workspace, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(a, b): links between docs (node long, text; a row for each node) that are at least that similar. groups: (node, group)."""
-    texts = docs.select("node", F.col("text").cast("binary").alias("text"))
-    made = ws.save(texts.mapInArrow(_banded(words), "node long, size long, key binary, heads array<long>"), "bands")
+    """(a, b): links between docs (node, b, text; numbered() by these names, a row for each node) that are at least that similar. groups: (node, group)."""
+    texts = docs.select("node", "b", F.col("text").cast("binary").alias("text"))
+    made = ws.save(texts.select("node", "text").mapInArrow(_banded(words), "node long, size long, key binary, heads array<long>"), "bands")
     reps = ws.save(made.groupBy("key").agg(F.min("node").alias("node")), "set-leaves")
     same = made.select("node", "key").join(reps.withColumnRenamed("node", "rep"), "key").where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
     rows = made.drop("key").join(reps.select("node"), "node", "left_semi").join(groups, "node").select("node", "group", "size", F.explode("heads").alias("head"))
     several = rows.groupBy("head").agg(F.min("group").alias("least"), F.max("group").alias("most")).where("least <> most").select("head")
     met = ws.save(rows.join(several, "head", "left_semi"), "buckets")
+    met = ws.save(different(met), "different-buckets")
     asked = met.select("node").distinct()
-    sets = texts.join(asked, "node", "left_semi").mapInArrow(_sets(words), "node long, set binary")
+    sets = among(texts, "node", "b", asked).select("node", "text").mapInArrow(_sets(words), "node long, set binary")
     rows = blocked(met.select("node", "group", "head"), ["head"], "node", LIMIT).join(sets, "node")
     return dealt(rows, ["head", "lo", "hi"], _near(similarity), "a long, b long").union(same)

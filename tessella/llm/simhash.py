@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, blocked, complete_groups, connected_components, dealt, find, free, group_starts, read, unite
+from .common import Workspace, among, blocked, complete_groups, connected_components, dealt, find, free, group_starts, numbered, read, unite
 from .jaccard import similar
 
 BUDGET = 4  # bits that may differ
@@ -195,19 +195,19 @@ def near_duplicates(docs: DataFrame, ws: Workspace) -> DataFrame:
 
 def one_of_each(docs: DataFrame, ws: Workspace, similarity: float | None = None) -> DataFrame:
     """One row of docs of each component of near copies, linked too by the Jaccard similarity of five-word shingles if given: that of the smallest doc_id, one with a null doc_id only where all are null."""
-    row, was = free(docs, "_row", "_was")
-    rows = ws.save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    row, was, bucket = free(docs, "_row", "_was", "_bucket")
+    rows = numbered(docs, ws, row, bucket)
     near = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), ws)
     near = ws.save(near.select(F.col("doc_id").alias("node"), F.col("component_id").alias("group")), "near")
     if similarity is not None:
-        links = similar(rows.select(F.col(row).alias("node"), "text"), near, ws, similarity=similarity)
+        links = similar(rows.select(F.col(row).alias("node"), F.col(bucket).alias("b"), "text"), near, ws, similarity=similarity)
         parts = ws.save(connected_components(links.union(near.where("node <> group")), ws), "similar").withColumnRenamed("node", "_n")
         near = ws.save(near.join(parts, F.col("node") == F.col("_n"), "left").select("node", F.coalesce("component", "group").alias("group")), "near")
     ids = rows.select(F.col(row).alias(was), F.col("doc_id"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("node").alias("node")))
     kept = near.join(ids, F.col("node") == F.col(was)).groupBy("group").agg(first.alias("first")).select("first.node")
     gone = near.join(kept, "node", "left_anti").select(F.col("node").alias(was))
-    return rows.join(gone, F.col(row) == F.col(was), "left_anti").drop(row)
+    return among(rows, row, bucket, gone, there=False).drop(row, bucket)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
