@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import pickle
+import marshal
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -39,7 +39,7 @@ from .common import Workspace, beside, complete_groups, dealt, group_starts, rea
 WINDOW = 16
 LEAST, AVERAGE, MOST = 128, 1024, 16384  # ids in a chunk; AVERAGE is a power of two
 PART = 1 << 20  # ids of a part of the recipes
-STAGED = 1 << 21  # ids in a row of the table that documents are encoded to
+STAGED = 1 << 19  # ids in a row of the table that documents are encoded to
 UNICODE_SPACE = "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 ODD = re.compile(rf"\A\n?\Z|\A\n?[\t\r]|[\t\r]\Z|[\x0b\x0c\x1c-\x1f{UNICODE_SPACE}]|<\|")  # units where white space meets white space, or may
 
@@ -126,13 +126,17 @@ class Encoder:
         return out
 
     def rest(self) -> None:
-        """Between tasks a worker keeps what was asked for in two generations, as copies that lie together: so idle workers give memory back."""
-        kept = [pickle.dumps({u: x for u, x in k.items() if u in k.older} if k.older else dict(k)) for k in (self.known, self.bare)]
+        """Between tasks a worker keeps what was asked for in two generations, as copies that lie together: so idle workers give memory back.
+
+        All else goes before the copies are made, and they are made without a memo, so resting takes little more than the memory has.
+        """
         for k in (self.known, self.bare):
+            kept = {u: x for u, x in k.items() if u in k.older} if k.older else dict(k)
             k.clear()
             k.older = {}
-        for k, x in zip((self.known, self.bare), kept, strict=True):
-            k.older = pickle.loads(x)
+            data = marshal.dumps(kept, 2)
+            del kept
+            k.older = marshal.loads(data)
         pa.default_memory_pool().release_unused()
 
 

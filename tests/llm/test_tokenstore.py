@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import uuid
 import zlib
 
@@ -38,6 +39,22 @@ def test_encoder_equals_the_library():
     assert len(e.known) + len(e.known.older) < len(texts)
 
 
+def test_resting_takes_little_memory():
+    e, n = Encoder(PATH), 100_000
+    tracemalloc.start()
+    for k in range(2):
+        e.known.update({f"unit{i}": (i << 8 | 1).to_bytes(6, "little") for i in range(n * k // 2, n * k // 2 + n)})
+        if not k:
+            e.known.age()
+    before = tracemalloc.get_traced_memory()[0]
+    tracemalloc.reset_peak()
+    e.rest()
+    after, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(e.known) == 0 and len(e.known.older) == n // 2 and e.known.older[f"unit{n - 1}"] == (n - 1 << 8 | 1).to_bytes(6, "little")
+    assert peak - before < 40 * n and after < before / 2
+
+
 def test_cuts_follow_content():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 50000, 60000), rng.integers(0, 50000, 777)
