@@ -21,15 +21,19 @@ greatest cuts on, it drops nothing.
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import hashlib
 import marshal
+import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,12 +43,15 @@ from .common import Workspace, beside, complete_groups, dealt, group_starts, rea
 WINDOW = 16
 LEAST, AVERAGE, MOST = 128, 1024, 16384  # ids in a chunk; AVERAGE is a power of two
 PART = 1 << 20  # ids of a part of the recipes
+ROWS = 1024  # documents encoded at a time
 STAGED = 1 << 19  # ids in a row of the table that documents are encoded to
+#: Parquet looks at a page's size every 100 rows; rows of 1 MB would all be one page, which snappy holds whole outside the heap, twice, to write it and to read it.
+PAGES = {"parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1, "parquet.enable.dictionary": False}
 UNICODE_SPACE = "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 ODD = re.compile(rf"\A\n?\Z|\A\n?[\t\r]|[\t\r]\Z|[\x0b\x0c\x1c-\x1f{UNICODE_SPACE}]|<\|")  # units where white space meets white space, or may
 
 
-SIGNS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 PIECES = re.compile(r"[^\W\d_]+|[0-9]+|[!-&(-/:-@\[-`{-~]+")  # letters, digits, ASCII signs but the apostrophe: the pre-tokenizer parts a word so
 
 
@@ -53,11 +60,11 @@ class Encoder:
 
     Its pre-tokenizer always parts at a space or newline that stands alone, so what it makes of the units between them is what it makes
     of the whole; a unit of letters, digits and signs goes to the library's model piece by piece. Texts where white space
-    meets white space, or with `<|`, are encoded whole; a unit tells when it is first met. The memory has two generations of
-    `remember` units: what is asked for again outlives the older one.
+    meets white space, or with `<|`, are encoded whole; a unit tells when it is first met, and then has no ids. The memory has two
+    generations of `remember` units: what is asked for again outlives the older one.
     """
 
-    def __init__(self, path: str, remember: int = 600_000):
+    def __init__(self, path: str, remember: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remember = Tokenizer.from_file(path), remember
@@ -69,8 +76,7 @@ class Encoder:
         hidden = iter(range(256, 512))
         self.letters = {c: chr(c) if c in shown else chr(next(hidden)) for c in range(256)}
         self.space = self.letters[32]
-        self.newline, lone_space = self._ids(["\n", " "])
-        self.ends = {None: b"", "": lone_space, "\n": self.newline}
+        self.newline, self.lone_space = self._ids(["\n", " "])
         self.known, self.bare = _Known(self._unit), _Known(self._bare)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -82,17 +88,30 @@ class Encoder:
         return b"".join([packed[t.id] for t in self.tokenize(lead + shown)])
 
     def _bare(self, piece: str) -> bytes:
-        return self._piece(piece, "")
+        self.bare[piece] = out = self._piece(piece, "")
+        return out
 
     def _unit(self, unit: str) -> bytes:
         """Ids of a unit: one that begins with a newline has no space before it, any other has one."""
+        known = self.known
         if unit.isalpha():
-            return self._piece(unit, self.space)
-        if unit[-1:] in SIGNS and unit[:-1].isalpha():
-            word = unit[:-1]  # isn't remembered by itself: a rare word is met once
-            return (self.known.get(word) or self.known.older.get(word) or self._piece(word, self.space)) + self.bare[unit[-1]]
+            known[unit] = out = self._piece(unit, self.space)
+            return out
+        word = unit.rstrip(SIGNS)
+        if word.isalpha() and "<|" not in unit:
+            ids, signs = known.get(word) or known.older.get(word), self.bare[unit[len(word) :]]
+            if ids:
+                known[unit] = out = ids + signs
+                return out
+            known[word] = out = self._piece(word, self.space)  # in the unit's place: a rare word is met once, and if not, then often with other signs
+            return out + signs
+        known[unit] = out = self._mixed(unit)
+        return out
+
+    def _mixed(self, unit: str) -> bytes:
+        """Nothing if they depend on what stands beside the unit."""
         if ODD.search(unit):
-            raise _Odd
+            return b""
         lone = unit[:1] == "\n"
         pieces = PIECES.findall(unit)
         if not pieces or len(unit) - lone != sum(map(len, pieces)) or not all(p.isascii() or p.isalpha() for p in pieces):
@@ -101,29 +120,43 @@ class Encoder:
             return self.newline + b"".join(map(self.bare.__getitem__, pieces))
         return self._piece(pieces[0], self.space) + b"".join(map(self.bare.__getitem__, pieces[1:]))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian bytes of self.width."""
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """Ids of each text as little-endian bytes of self.width.
+
+        Arrow cuts texts to units and tells different ones apart, and lays their ids end to end; what stands once in the texts is looked up once.
+        """
         for known in (self.known, self.bare):
             if len(known) > self.remember:
                 known.age()
-        self.known[None] = b""  # stands for a first unit, which has no space before it
-        units = [t.replace("\n", " \n").split(" ") for t in texts]
-        odd = [bool("  " in t or "\n\n" in t or u[0] and ODD.search(u[0])) for t, u in zip(texts, units, strict=True)]
-        out = self._ids(["" if o else u[0] for u, o in zip(units, odd, strict=True)])
-        of = self.known.__getitem__
-        for i, u in enumerate(units):
-            if odd[i]:
-                continue
-            end = u.pop() if len(u) > 1 and u[-1] in ("", "\n") else None  # alone at the end, no white space follows
-            u[0] = None
-            try:
-                out[i] += b"".join(map(of, u)) + self.ends[end]
-            except _Odd:
-                odd[i] = True
-        whole = [i for i, o in enumerate(odd) if o]
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        return out
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(texts):
+            return []
+        spaced = pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, "\n\n"))
+        cut = pc.split_pattern(pc.replace_substring(pc.if_else(spaced, pa.scalar("", texts.type), texts), "\n", " \n"), " ")
+        coded = cut.flatten().dictionary_encode()
+        units = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary.cast(pa.string()))
+        ids = list(map(self.known.__getitem__, pc.binary_join(units, " ")[0].as_py().split(" ")))  # no unit has a space in it
+        bounds = cut.offsets.to_numpy().astype(np.int64)
+        bounds -= bounds[0]
+        first, last = bounds[:-1], bounds[1:] - 1
+        at = np.array(coded.indices, np.int64)
+        heads, tails = coded.take(first).to_pylist(), coded.take(last).to_pylist()
+        end = np.array([x in ("", "\n") for x in tails]) & (last > first)  # alone at the end, no white space follows
+        at[last[end]] = [len(ids) + (x == "\n") for x, e in zip(tails, end.tolist(), strict=True) if e]
+        ids += [self.lone_space, self.newline, b""]
+        at[first] = len(ids) + np.arange(len(first))  # first units have no space before them
+        mixed = np.array([not x for x in ids[:-3]] + [False] * (3 + len(first)))  # units that need what stands beside them
+        odd = np.logical_or.reduceat(mixed[at], first) | spaced.to_numpy(zero_copy_only=False)
+        odd |= [bool(x and ODD.search(x)) for x in heads]
+        at[np.repeat(odd, last - first + 1)] = len(ids) - 1
+        at[first] = len(ids) + np.arange(len(first))
+        plain = [not o and x.isalpha() for x, o in zip(heads, odd.tolist(), strict=True)]
+        whole = iter(self._ids([texts[i].as_py() if o else x for i, (x, o, p) in enumerate(zip(heads, odd.tolist(), plain, strict=True)) if not p]))
+        ids += [self.bare[x] if p else next(whole) for x, p in zip(heads, plain, strict=True)]
+        joined = pa.array(ids, pa.binary()).take(pa.array(at))
+        ends = np.frombuffer(joined.buffers()[1], np.int32, len(joined) + 1)[bounds].tolist()
+        data = memoryview(joined.buffers()[2] or b"")
+        return [bytes(data[i:j]) for i, j in zip(ends, ends[1:], strict=False)]
 
     def rest(self) -> None:
         """Between tasks a worker keeps what was asked for in two generations, as copies that lie together: so idle workers give memory back.
@@ -137,15 +170,18 @@ class Encoder:
             data = marshal.dumps(kept, 2)
             del kept
             k.older = marshal.loads(data)
-        pa.default_memory_pool().release_unused()
+        trim()
 
 
-class _Odd(Exception):
-    """A unit whose ids depend on what stands beside it."""
+def trim() -> None:
+    """Gives back what the allocators hold free."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # glibc's
+        libc.malloc_trim(0)
 
 
 class _Known(dict):
-    """What has been asked for before, and else what `make` makes of it."""
+    """What has been asked for before, and else what `make` makes of it and notes down."""
 
     def __init__(self, make: Callable[[str], bytes]):
         self.make, self.older = make, {}
@@ -153,7 +189,7 @@ class _Known(dict):
     def __missing__(self, unit: str) -> bytes:
         out = self.older.get(unit)
         if out is None:
-            out = self.make(unit)
+            return self.make(unit)
         self[unit] = out
         return out
 
@@ -164,8 +200,19 @@ class _Known(dict):
 
 @functools.cache
 def encoder(path: str) -> Encoder:
-    """One for each worker, which outlives tasks."""
-    return Encoder(path)
+    """One for each worker, which outlives tasks. It is tasks that run side by side: threads of the library's own would take memory each."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    out = Encoder(path)
+    trim()  # what reading the file took
+    return out
+
+
+def forget() -> None:
+    """Reading needs no encoder: a worker that has one gives its memory back before it reads."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        gc.collect()  # an encoder and its memories refer to each other
+        trim()
 
 
 def marks(ids: np.ndarray, average: int = AVERAGE) -> np.ndarray:
@@ -218,32 +265,34 @@ STAGE_TYPES = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()
 def _encoded(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
-        w, task, seq = bpe.width, TaskContext.get().partitionId(), 0
+        w, task, seq, size = bpe.width, TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], f"<u{w}").tobytes()
         held: tuple = ([], [], [], [], [])
 
         def out() -> pa.RecordBatch:
-            nonlocal seq
+            nonlocal seq, size
             row = pa.record_batch([pa.array([x], t) for x, t in zip((task, seq, *held), STAGE_TYPES, strict=True)], names=["b", "seq", "doc_ids", "n_tokens", "roots", "names", "payloads"])
-            seq += 1
+            seq, size = seq + 1, 0
             for x in held:
                 x.clear()
             return row
 
         for b in batches:
-            for k in range(0, b.num_rows, 64):
-                part = b.slice(k, 64)
-                raws = [x + end for x in bpe.encode([x.as_py() or "" for x in part.column(1)])]
+            for k in range(0, b.num_rows, ROWS):
+                part = b.slice(k, ROWS)
+                raws = [x + end for x in bpe.encode(part.column(1).fill_null(""))]
                 for i, raw, ends in zip(part.column(0).to_pylist(), raws, all_cuts([len(x) // w for x in raws], np.frombuffer(b"".join(raws), f"<u{w}")), strict=True):
                     chunks = [bytes([w]) + raw[i * w : j * w] for i, j in zip([0, *ends], ends, strict=False)]
                     named = [name(c) for c in chunks]
                     for x, v in zip(held, (i, len(raw) // w, merkle(named), named), strict=False):
                         x.append(v)
                     held[4].extend(chunks)
-                if sum(held[1]) >= STAGED:
-                    yield out()
+                    size += len(raw) // w
+                    if size >= STAGED:
+                        yield out()
         if held[0]:
             yield out()
+        b = part = raws = raw = chunks = v = None  # what the last documents took
         bpe.rest()
 
     return run
@@ -287,7 +336,7 @@ def _manifest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write(docs: DataFrame, ws: Workspace, tokenizer: str, end_id: int = 2) -> dict[str, str]:
     """Writes chunks, recipes and manifest; their paths by name."""
     spark = docs.sparkSession
-    staged = ws.save(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_encoded(tokenizer, end_id), STAGE), "staged", "b", "snappy")
+    staged = ws.save(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_encoded(tokenizer, end_id), STAGE), "staged", "b", "snappy", PAGES)
     at = {k: ws.path(k) for k in ("chunks", "recipes", "manifest")}
     named = staged.select("b", "seq", F.posexplode(F.flatten("names")).alias("place", "name"))
     first = named.groupBy("name").agg(F.min(F.struct("b", "seq", "place")).alias("at")).select("at.*")
@@ -309,6 +358,7 @@ def write(docs: DataFrame, ws: Workspace, tokenizer: str, end_id: int = 2) -> di
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by part, the manifest's first: a row for each chunk of each recipe, once a document agrees with its root."""
+    forget()
     said, x = None, None
 
     def close() -> None:
@@ -354,9 +404,14 @@ def _ids(chunk: bytes, payload: bytes) -> np.ndarray:
 
 
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget()
     for b in batches:
-        ids = [_ids(c, p) for c, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-        yield pa.record_batch([b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())], names=["chunk", "n", "crc"])
+        sums: list[tuple[int, int]] = []
+        for k in range(0, b.num_rows, 256):
+            for c, p in zip(*(x.to_pylist() for x in b.slice(k, 256).columns), strict=True):
+                ids = _ids(c, p)
+                sums.append((len(ids), zlib.crc32(ids)))
+        yield pa.record_batch([b.column(0), *(pa.array([x[i] for x in sums], pa.int64()) for i in (0, 1))], names=["chunk", "n", "crc"])
 
 
 @functools.cache

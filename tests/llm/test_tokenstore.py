@@ -55,6 +55,41 @@ def test_resting_takes_little_memory():
     assert peak - before < 40 * n and after < before / 2
 
 
+def test_words_cost_one_call_whatever_signs_follow():
+    e, asked = Encoder(PATH), []
+    tokenize, of, met = e.tokenize, e.known.make, []
+    e.tokenize = lambda x: asked.append(x) or tokenize(x)
+    e.known.make = lambda u: met.append(u) or of(u)
+    texts = ["x oddword&&& oddword, oddword oddword.!! oddword&&&", "x oddword oddword&&&"] * 40
+    got = e.encode(texts)
+    library = Tokenizer.from_file(PATH)
+    assert [np.frombuffer(x, "<u2").tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sum("oddword" in x for x in asked) == 1 and len(met) == len(set(met))
+    e.encode(["never  met", "nor\n\nthis"])  # encoded whole
+    assert not {"never", "met", "this"} & {*met, *e.known}
+
+
+def test_readers_forget_the_encoder():
+    tokenstore.encoder(PATH).encode(["some words"])
+    assert list(tokenstore._checksums(iter(()))) == [] and tokenstore.encoder.cache_info().currsize == 0
+
+
+def test_staged_rows_are_pages_of_their_own(spark, monkeypatch):
+    """A page of many rows of 1 MB is held whole outside the heap."""
+    kept = []
+    monkeypatch.setattr(Workspace, "drop", lambda self, df: kept.append(df._tessella_path))
+    rows = [(i, f"{i} " + "long " * 600_000) for i in range(4)]
+    write(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), Workspace(spark, "t"), PATH)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    pages = []
+    for f in jvm.org.apache.hadoop.fs.Path(kept[0]).getFileSystem(conf).listStatus(jvm.org.apache.hadoop.fs.Path(kept[0])):
+        if f.getPath().getName().endswith(".parquet"):
+            reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(f.getPath(), conf))
+            pages += [reader.readOffsetIndex(c).getPageCount() for b in reader.getFooter().getBlocks() for c in b.getColumns() if "payloads" in c.getPath().toDotString()]
+            reader.close()
+    assert sum(pages) >= len(rows)
+
+
 def test_cuts_follow_content():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 50000, 60000), rng.integers(0, 50000, 777)
